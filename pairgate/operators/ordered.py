@@ -154,3 +154,24 @@ def average_ranks(
     )
     rank = F.col("before_n_tied") + (F.col("n_tied") + 1) / F.lit(2.0)
     return ordered.select(*keys, value, "n_tied", rank.alias("avg_rank"))
+
+
+def medians(
+    df: DataFrame, keys: Sequence[str], value: str, *, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Exact median per group from merged counts; no group's values meet in one task's memory."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
+    ordered = running_totals(
+        counts, keys, value, ["__n"], rows_per_bucket=rows_per_bucket, sizing=df
+    ).join(sizes, list(keys))
+    lo, hi = F.floor((F.col("__m") - 1) / 2), F.floor(F.col("__m") / 2)
+    start, stop = F.col("before___n"), F.col("before___n") + F.col("__n")
+
+    def holds(position):
+        return (position >= start) & (position < stop)
+
+    middle = ordered.where(holds(lo) | holds(hi))
+    return middle.groupBy(*keys).agg(
+        ((F.max(value) + F.min(value)) / F.lit(2.0)).alias("median")
+    )
