@@ -24,7 +24,7 @@ def _chain_sql(s: str, name: str) -> str:
     "composition_features",
     f"""SELECT doc_id, {_chain_sql('b', 'binder')}, {_chain_sql('t', 'target')},
   CASE WHEN length(t) > 0 THEN ROUND(length(b) / length(t)::DOUBLE, 6) ELSE 0.0::DOUBLE END AS length_ratio
-FROM (SELECT doc_id, upper(trim(text)) AS b, upper(trim(source || lang)) AS t FROM documents)""",
+FROM (SELECT doc_id, upper(replace(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), 'ß', 'SS')) AS b, upper(source || lang) AS t FROM documents)""",
 )
 def composition_features(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

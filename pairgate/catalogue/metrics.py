@@ -137,7 +137,7 @@ def recall_at_precision(spark, sf_dir):
 
 
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_LINE_ORDINAL = "l_orderkey * 8 + l_linenumber"
+_LINE_ORDINAL = "(l_orderkey * 8 + l_linenumber) * 4194304 + (l_partkey * 1009 + l_suppkey) % 4194304"
 
 
 @query(
@@ -145,7 +145,7 @@ _LINE_ORDINAL = "l_orderkey * 8 + l_linenumber"
     """WITH long AS (
   SELECT UNNEST(['l_quantity','l_extendedprice','l_discount','l_tax']) AS metric,
     UNNEST([l_quantity, l_extendedprice, -l_discount, l_tax]) AS s,
-    (l_returnflag = 'R')::INT AS y, l_orderkey * 8 + l_linenumber AS o FROM lineitem),
+    (l_returnflag = 'R')::INT AS y, (l_orderkey * 8 + l_linenumber) * 4194304 + (l_partkey * 1009 + l_suppkey) % 4194304 AS o FROM lineitem),
 r AS (SELECT metric, s, y, SUM(y) OVER w AS tp, ROW_NUMBER() OVER w AS k FROM long
   WINDOW w AS (PARTITION BY metric ORDER BY s DESC, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ap AS (SELECT metric, SUM(CASE WHEN y = 1 THEN tp::DOUBLE / k END) / SUM(y) AS ap FROM r GROUP BY metric),
@@ -200,7 +200,7 @@ def bucket_summary(spark, sf_dir):
     """WITH long AS (
   SELECT l_shipdate, l_linestatus, UNNEST(['l_quantity','l_extendedprice','l_discount','l_tax']) AS metric,
     UNNEST([l_quantity, l_extendedprice, l_discount, l_tax]) AS s,
-    (l_returnflag = 'R')::INT AS y, l_orderkey * 8 + l_linenumber AS o FROM lineitem),
+    (l_returnflag = 'R')::INT AS y, (l_orderkey * 8 + l_linenumber) * 4194304 + (l_partkey * 1009 + l_suppkey) % 4194304 AS o FROM lineitem),
 r AS (SELECT l_linestatus, metric, y, SUM(y) OVER w AS tp, ROW_NUMBER() OVER w AS k FROM long
   WINDOW w AS (PARTITION BY l_linestatus, metric ORDER BY s DESC, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ap AS (SELECT l_linestatus, metric, ROUND(SUM(CASE WHEN y = 1 THEN tp::DOUBLE / k END) / SUM(y), 6) AS ap FROM r GROUP BY ALL),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgate import constants as C
 from pairgate.catalogue import query, rounded, table
 from pairgate.functions.numeric import missing_flag, to_double, to_int_or_zero
 from pairgate.operators import metrics as M
@@ -124,19 +123,24 @@ JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JO
 JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey""",
 )
 def double_dim_join(spark, sf_dir):
+    return _line_nations(spark, sf_dir).drop("l_extendedprice")
+
+
+def _line_nations(spark, sf_dir):
+    """Line items with the nations of both sides: the nation table joined twice."""
     nation = table(spark, sf_dir, "nation")
     named = lambda key, out: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(out))
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     return (
         lines.join(orders, "l_orderkey")
         .join(customer, "o_custkey")
         .join(named("c_nationkey", "customer_nation"), "c_nationkey")
         .join(supplier, "l_suppkey")
         .join(named("s_nationkey", "supplier_nation"), "s_nationkey")
-        .select("l_orderkey", "l_linenumber", "customer_nation", "supplier_nation")
+        .select("l_orderkey", "l_linenumber", "customer_nation", "supplier_nation", "l_extendedprice")
     )
 
 
@@ -174,10 +178,8 @@ SELECT r || '__' || c AS pair_id, r AS vhh_pdb, c AS antigen_pdb, (r = c)::INT A
 FROM cells JOIN nation a ON a.n_name = r JOIN nation b ON b.n_name = c""",
 )
 def matrix_pairs(spark, sf_dir):
-    named = double_dim_join(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     cells = (
-        named.join(lines, ["l_orderkey", "l_linenumber"])
+        _line_nations(spark, sf_dir)
         .groupBy(F.col("supplier_nation").alias("row_key"), F.col("customer_nation").alias("col_key"))
         .agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
     )
@@ -385,7 +387,7 @@ _TABLE_ORDER_SQL = "CASE split WHEN 'all' THEN 0 WHEN 'random_pair' THEN 1 WHEN
     "combine_predictor_tables",
     f"""WITH t AS (SELECT lang AS predictor, CASE WHEN doc_id % 3 = 0 THEN 'random_pair' WHEN doc_id % 3 = 1 THEN 'all' ELSE 'other' END AS split,
   'raw_iptm' AS model, n_chars FROM documents)
-SELECT predictor, split, model, COUNT(*) AS n, SUM(n_chars)::BIGINT AS chars FROM t GROUP BY ALL ORDER BY predictor, {_TABLE_ORDER_SQL}""",
+SELECT * FROM (SELECT predictor, split, model, COUNT(*) AS n, SUM(n_chars)::BIGINT AS chars FROM t GROUP BY ALL) ORDER BY predictor, {_TABLE_ORDER_SQL}""",
 )
 def combine_predictor_tables(spark, sf_dir):
     split = F.when(F.col("doc_id") % 3 == 0, "random_pair").when(F.col("doc_id") % 3 == 1, "all").otherwise("other")
@@ -395,5 +397,4 @@ def combine_predictor_tables(spark, sf_dir):
     per = lambda cond: docs.where(cond).groupBy("predictor", "split", "model").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")
     )
-    assert set(C.SPLIT_ORDER) >= {"all", "random_pair"}
     return R.combine_predictor_tables([per("predictor = 'en'"), per("predictor <> 'en'")])

@@ -122,8 +122,8 @@ _LOOPS = [[0, 1, 2], [4, 5, 6, 7]]
 loops AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, 2), (1, 4), (1, 5), (1, 6), (1, 7)) v(l, p)),
 src AS (SELECT id, t, l, p, ROW_NUMBER() OVER (PARTITION BY id, l ORDER BY {_U.format("id || '|9|1|' || p")}, p) AS k FROM s, loops),
 dst AS (SELECT id, l, p, ROW_NUMBER() OVER (PARTITION BY id, l ORDER BY p) AS k FROM s, loops),
-m AS (SELECT dst.id, dst.p AS at, substr(src.t, src.p + 1, 1) AS c FROM dst JOIN src USING (id, l, k))
-SELECT id, STRING_AGG(c, '' ORDER BY at) FILTER (at < 3) || substr(ANY_VALUE(t), 4, 1) || STRING_AGG(c, '' ORDER BY at) FILTER (at > 3) || substr(ANY_VALUE(t), 9) AS scrambled
+m AS (SELECT dst.id, dst.p AS pos, substr(src.t, src.p + 1, 1) AS c FROM dst JOIN src USING (id, l, k))
+SELECT id, STRING_AGG(c, '' ORDER BY pos) FILTER (WHERE pos < 3) || substr(ANY_VALUE(t), 4, 1) || STRING_AGG(c, '' ORDER BY pos) FILTER (WHERE pos > 3) || substr(ANY_VALUE(t), 9) AS scrambled
 FROM m JOIN s USING (id) GROUP BY id""",
 )
 def loop_scramble(spark, sf_dir):

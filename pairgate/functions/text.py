@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pairgate import constants as C
 from pairgate.functions.numeric import as_column
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
 # Fixed patterns: a terminal poly-histidine tag, and the suffix of a synthetic negative's id.
 LEADING_HIS_TAG = r"^[MA]{0,3}H{5,}"
 TRAILING_HIS_TAG = r"H{5,}$"
@@ -17,12 +19,18 @@ SYNTHETIC_SUFFIX = r"-(scramble|wrongtarget)\d+$"
 ARCHIVE_MEMBER = r"^system_(\d+)_(\d+)_([0-9A-Za-z]+)_([0-9A-Za-z]+)_model_(\d+)\.pdb$"
 
 
+def strip(text: Column | str) -> Column:
+    """Remove white space of any kind from both ends."""
+    return F.btrim(as_column(text), F.lit(WHITESPACE))
+
+
 def kmer_set(text: Column | str, k: int = C.KMER_LENGTH) -> Column:
     """Distinct substrings of length ``k``; an empty array for shorter text."""
-    s = as_column(text)
-    starts = F.sequence(F.lit(1), F.length(s) - F.lit(k - 1))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(s, i, F.lit(k))))
-    return F.when(F.length(s) >= k, grams).otherwise(F.array().cast("array<string>"))
+    # A look-ahead captures k characters at every position in one pass over the text; cutting
+    # substrings by position would rescan the text from its start each time.  The second group
+    # keeps a match from starting inside a surrogate pair.
+    pattern = rf"(?s)(?=(.{{{k}}}))(?![\uDC00-\uDFFF])"
+    return F.array_distinct(F.regexp_extract_all(as_column(text), F.lit(pattern), F.lit(1)))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
@@ -52,7 +60,7 @@ def strip_his_tags(text: Column | str) -> Column:
 
 def normalize_antigen(text: Column | str, signals: Iterable[str] = C.SIGNAL_PEPTIDES) -> Column:
     """Trim, upper-case, drop one known signal peptide, then terminal His tags."""
-    s = F.upper(F.trim(as_column(text)))
+    s = F.upper(strip(text))
     trimmed = s
     for signal in reversed(tuple(signals)):
         trimmed = F.when(s.startswith(signal), F.substring(s, len(signal) + 1, 1 << 30)).otherwise(
@@ -63,7 +71,7 @@ def normalize_antigen(text: Column | str, signals: Iterable[str] = C.SIGNAL_PEPT
 
 def normalize_binder(text: Column | str, domain: Column | str | None = None) -> Column:
     """The variable domain when a numbering table supplies one, else the His-stripped text."""
-    stripped = strip_his_tags(F.upper(F.trim(as_column(text))))
+    stripped = strip_his_tags(F.upper(strip(text)))
     return stripped if domain is None else F.coalesce(as_column(domain), stripped)
 
 

@@ -194,11 +194,15 @@ def scramble_loops(sequence: Column | str, loops: Column | str, row: Column | st
         )
 
     changes = F.map_from_entries(F.flatten(F.transform(sets, moved)))
-    letters = F.transform(
-        F.sequence(F.lit(0), F.length(s) - 1),
-        lambda i: F.coalesce(F.try_element_at(changes, i), F.substring(s, i + 1, F.lit(1))),
+    # Bound once as a one-element array: a lambda body would rebuild the map for every letter.
+    bound = F.array(F.struct(F.split(s, "").alias("letters"), changes.alias("changes")))
+    scrambled = F.transform(
+        bound,
+        lambda b: F.array_join(
+            F.transform(b["letters"], lambda c, i: F.coalesce(F.try_element_at(b["changes"], i), c)), ""
+        ),
     )
-    return F.array_join(letters, "")
+    return F.element_at(scrambled, 1)
 
 
 def pair_violations(negatives: DataFrame, positives: DataFrame, row: str = "pair_id") -> DataFrame:
