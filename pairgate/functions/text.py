@@ -77,7 +77,7 @@ def normalize_binder(text: Column | str, domain: Column | str | None = None) ->
 
 def normalize_chains(chains: Column | str) -> Column:
     """Multi-chain antigen: each chain normalised, joined by a colon."""
-    return F.array_join(F.transform(as_column(chains), normalize_antigen), ":")
+    return F.array_join(F.transform(as_column(chains), lambda c: normalize_antigen(c)), ":")
 
 
 def hash16(text: Column | str) -> Column:

@@ -89,16 +89,18 @@ def running_totals(
     sums: Sequence[str],
     *,
     tie: str | None = None,
+    then: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
     sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``before_<c>``: the total of ``c`` over the rows that come earlier in (score, tie).
 
-    Order is ascending; (keys, score, tie) must identify a row.  Keys must not be NULL.
+    Order is ascending; (keys, score, tie, then...) must identify a row.  Keys must not be NULL.
+    ``then`` orders rows that agree on score and tie; such rows stay in one bucket.
     ``sizing`` may name the cheaper rows ``df`` was aggregated from, to place the cuts with.
     """
     cuts = plan_cuts(df if sizing is None else sizing, score, tie, rows_per_bucket)
-    order = [F.col(score)] + ([F.col(tie)] if tie else [])
+    order = [F.col(c) for c in [score, *([tie] if tie else []), *then]]
 
     def earlier(partition: Sequence[str]) -> Window:
         spec = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
@@ -140,6 +142,21 @@ def dense_index(
     return out.withColumn(name, F.col("before___one").cast("long")).drop("__one", "before___one")
 
 
+def lexical_index(df: DataFrame, column: str, *, name: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """0-based position of every distinct text in byte order.
+
+    Buckets are cut on the first six bytes read as a number, then on the next six.
+    """
+
+    def bytes_as_number(start: int):
+        digits = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), start, 6)), 12, "0")
+        return F.conv(digits, 16, 10).cast("double")
+
+    keyed = df.select("*", bytes_as_number(1).alias("__p"), bytes_as_number(7).alias("__q"), F.lit(1).cast("long").alias("__one"))
+    out = running_totals(keyed, [], "__p", ["__one"], tie="__q", then=[column], rows_per_bucket=rows_per_bucket)
+    return out.withColumn(name, F.col("before___one").cast("long")).drop("__p", "__q", "__one", "before___one")
+
+
 def average_ranks(
     df: DataFrame, value: str, keys: Sequence[str] = (), *, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:

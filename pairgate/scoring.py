@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pairgate import constants as C
 from pairgate import schemas
 from pairgate.operators import chain_roles, confidence, geometry, superpose
+from pairgate.session import cut_lineage
 from pairgate.sources.registry import SCORERS
 from pairgate.sources.structure_files import atoms_from_files, chain_sequences
 from pairgate.sources.tables import read_texts, relative_files
@@ -94,7 +95,7 @@ def _roles_and_atoms(spark: SparkSession, examples: DataFrame, root: str, chain_
         )
     structures = structures.join(examples.select("id"), "id", "left_semi")
     # Parsed once, read by every branch that follows.
-    atoms = atoms_from_files(_as_files(structures)).persist()
+    atoms = cut_lineage(atoms_from_files(_as_files(structures)))
     found = structures.select("id")
     if chain_resolution == "sequence":
         roles = sequence_roles(spark, root, examples, structures, atoms)
@@ -110,7 +111,7 @@ def structural_interface(examples: DataFrame, predictions_root: str, chain_resol
     """Interface geometry of the predicted complex; the value is contacts per binder residue at 6 A."""
     spark = examples.sparkSession
     found, atoms, roles, failures = _roles_and_atoms(spark, examples, predictions_root, chain_resolution)
-    placed = chain_roles.assign(atoms, roles).persist()
+    placed = cut_lineage(chain_roles.assign(atoms, roles))
     features = geometry.interface_features(placed).withColumnRenamed("structure_id", "id")
     joined = (
         examples.select("id")
@@ -138,7 +139,7 @@ def af2m_confidence(examples: DataFrame, predictions_root: str) -> DataFrame:
         "id", "pdb", "rel", F.from_json("text", schemas.AF2M_SCORES).alias("s"), F.col("text").isNotNull().alias("has_raw")
     )
     found, atoms, roles, failures = _roles_and_atoms(spark, examples, predictions_root, "positional")
-    placed = chain_roles.assign(atoms, roles).persist()
+    placed = cut_lineage(chain_roles.assign(atoms, roles))
     count = lambda r: F.coalesce(F.max(F.when(F.col("role") == r, F.col("role_res"))) + 1, F.lit(0))
     sizes = placed.groupBy(F.col("structure_id").alias("id")).agg(count("binder").alias("n_binder"), count("target").alias("n_target"))
     near = geometry.interface_residues(placed).groupBy(F.col("structure_id").alias("id")).agg(
@@ -182,7 +183,7 @@ def protenix_confidence(examples: DataFrame, predictions_root: str) -> DataFrame
         .select("id", F.col("a.b").alias("atom_is_binder"))
     )
     tokens = full.withColumn("n_tokens", F.size("token_pair_pae")).join(flags, "id")
-    masked = tokens.join(confidence.binder_token_mask(tokens), "id").where(F.col("mask").isNotNull()).persist()
+    masked = tokens.join(confidence.binder_token_mask(tokens), "id").where(F.col("mask").isNotNull())
     joined = (
         examples.select("id")
         .join(summary, "id", "left")
@@ -210,7 +211,7 @@ def rmsd_to_crystal(examples: DataFrame, predictions_root: str) -> DataFrame:
         raw = spark.read.text(folders, wholetext=True)
         plain = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/*", "/")
         crystal_texts = crystals.join(raw.select(plain.alias("path"), F.col("value").alias("text")), "path")
-    crystal_atoms = atoms_from_files(crystal_texts.select(F.col("id").alias("structure_id"), "path", "text")).persist()
+    crystal_atoms = cut_lineage(atoms_from_files(crystal_texts.select(F.col("id").alias("structure_id"), "path", "text")))
     crystal_ids = chain_roles.crystal_roles(examples)
     sizes = examples.select("id", F.size("binder_chains").alias("nb"), F.size("target_chains").alias("nt")).join(crystal_ids, "id")
     mismatch = sizes.select(
@@ -225,8 +226,9 @@ def rmsd_to_crystal(examples: DataFrame, predictions_root: str) -> DataFrame:
     lost = lost.groupBy("id").agg(F.min("chain_id").alias("chain_id"))
     lost = lost.select("id", F.concat(F.lit("KeyError: '"), "chain_id", F.lit("'")).alias("crystal_error"))
     ready = usable.join(lost, "id", "left_anti").join(crystal_texts.select("id"), "id", "left_semi")
-    pred = chain_roles.assign(atoms, roles.join(ready, "id", "left_semi")).persist()
-    crys = chain_roles.assign(crystal_atoms, crystal_ids.join(pred.select(F.col("structure_id").alias("id")).distinct(), "id", "left_semi")).persist()
+    pred = cut_lineage(chain_roles.assign(atoms, roles.join(ready, "id", "left_semi")))
+    present = pred.select(F.col("structure_id").alias("id")).distinct()
+    crys = cut_lineage(chain_roles.assign(crystal_atoms, crystal_ids.join(present, "id", "left_semi")))
     features = superpose.rmsd_features(pred, crys).withColumnsRenamed({"structure_id": "id", "error": "pair_error"})
     joined = (
         examples.select("id")
@@ -269,7 +271,7 @@ def feature_rows(
     spark = pairs.sparkSession
     conf = protenix_confidence(examples, predictions_root)
     found, atoms, roles, failures = _roles_and_atoms(spark, examples, predictions_root, "sequence")
-    placed = chain_roles.assign(atoms, roles).persist()
+    placed = cut_lineage(chain_roles.assign(atoms, roles))
     geom = geometry.interface_features(placed).select(F.col("structure_id").alias("pair_id"), *C.GEOMETRY_KEYS)
     near = geometry.interface_residues(placed).select(F.col("structure_id").alias("id"), F.col("binder_res").alias("residue_idx"))
     lengths = pairs.select(F.col("pair_id").alias("id"), F.length("binder_seq").alias("n"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from pairgate.operators import metrics as M
-from pairgate.operators.ordered import average_ranks, dense_index, running_totals
+from pairgate.operators.ordered import average_ranks, dense_index, lexical_index, running_totals
 from pyspark.sql import functions as F
 
 
@@ -130,3 +130,11 @@ def test_bucket_summary_keeps_empty_buckets(spark):
     assert (got["<=4"]["n"], got["<=4"]["m_mean"], got["<=4"]["m_std"]) == (2, 3.0, 1.0)
     assert (got["4-8"]["n"], got["4-8"]["m_mean"]) == (0, None)
     assert (got[">8"]["n"], got[">8"]["m_mean"]) == (1, None)
+
+
+@pytest.mark.parametrize("rows_per_bucket", [10**6, 5])
+def test_lexical_index(spark, rows_per_bucket):
+    words = sorted({f"sabdab-{i % 7}{'x' * (i % 3)}-{i}" for i in range(40)} | {"", "a", "é", "zzz", "sabdab-1"}, key=lambda w: w.encode())
+    df = spark.createDataFrame([(w,) for w in words[::-1]], "w string")
+    got = {r["w"]: r["index"] for r in lexical_index(df, "w", rows_per_bucket=rows_per_bucket).collect()}
+    assert got == {w: i for i, w in enumerate(words)}
