@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairgate.llm import exact
+from pairgate.llm import exact, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +44,8 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM r
 )
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash_dedup")
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"), words_per_shingle=3, max_bits=2)
