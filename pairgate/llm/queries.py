@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairgate.llm import exact, simhash
+from pairgate.llm import exact, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,3 +49,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_dedup")
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"), words_per_shingle=3, max_bits=2)
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7
+    )
