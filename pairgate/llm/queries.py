@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairgate.llm import exact, quality, simhash
+from pairgate.llm import exact, quality, simhash, tiling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,3 +56,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7
     )
+
+
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
