@@ -36,6 +36,9 @@ SEED = 42
 N_BYTES = 8
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
+#: An odd multiplier that spreads bits, and the bits of every byte value.
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def shingle_hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
@@ -54,32 +57,49 @@ def shingle_hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
     )
 
 
-def majority(hashes: np.ndarray) -> int:
-    """A bit is set if it is set in over half of the hashes."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        block = hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+def majorities(hashes: np.ndarray, n: int) -> list[int]:
+    """``n`` fingerprints: a bit is set if it is set in over half of the hashes.  The first takes
+    the hashes as they are, every further one a remix of them."""
+    out = []
+    for r in range(n):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), BLOCK):
+            block = hashes[at : at + BLOCK]
+            if r:
+                block = (block ^ np.uint64(r)) * MIX
+                block = (block ^ (block >> np.uint64(29))) * MIX
+                block ^= block >> np.uint64(32)
+            parts = block.astype(">u8").view(np.uint8).reshape(-1, N_BYTES).T
+            for b, values in enumerate(parts):
+                counts[8 * b : 8 * b + 8] += np.bincount(values, minlength=256) @ BITS
+        out.append(int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big"))
+    return out
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words_per_shingle: int = 3,
+    n_prints: int = 1,
 ) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fps): the fingerprints as signed longs."""
     small_text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [
-                majority(shingle_hashes(t, words_per_shingle)) for t in raw_texts(batch.column("text"))
+                majorities(shingle_hashes(t, words_per_shingle), n_prints)
+                for t in raw_texts(batch.column("text"))
             ]
-            fp = pa.array(np.array(marks, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], names=["doc_id", "fp"])
+            fps = np.array(marks, np.uint64).reshape(-1, n_prints).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"]
+            )
 
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    ).mapInArrow(run, "doc_id long, fp long")
+    ).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def covering(max_bits: int) -> list[tuple[int, ...]]:
@@ -111,31 +131,23 @@ def shared_bytes(a: Column, b: Column) -> Column:
 
 
 def links(marks: DataFrame, max_bits: int = 2, list_rows: int = 64) -> DataFrame:
-    """(a, b) of the distinct fingerprints ``fp`` of ``marks``: links whose components are those of
-    all pairs that differ in at most ``max_bits`` bits."""
+    """(r, a, b) of distinct fingerprints ``fp`` of kind ``r``: links whose components are those of
+    all pairs of one kind that differ in at most ``max_bits`` bits."""
     sets = covering(max_bits)
-    posting = marks.select("fp").select(
-        "fp",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("key")
-                    )
-                    for i, s in enumerate(sets)
-                ]
-            )
-        ).alias("p"),
-    ).select("fp", "p.at", "p.key")
-    sizes = posting.groupBy("at", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = stash(sizes)
+    keys = [
+        F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("key"))
+        for i, s in enumerate(sets)
+    ]
+    by = ["r", "at", "key"]
+    posting = marks.select("r", "fp", F.explode(F.array(*keys)).alias("p")).select("r", "fp", "p.at", "p.key")
+    sizes = stash(posting.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"))
     short, long = sizes.where(F.col("n") <= list_rows), sizes.where(F.col("n") > list_rows)
-    met = posting.join(short.select("at", "key"), ["at", "key"])
+    met = posting.join(short.select(*by), by)
     pairs = (
         met.alias("x")
-        .join(met.alias("y"), ["at", "key"])
+        .join(met.alias("y"), by)
         .where("x.fp < y.fp")
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        .select("r", F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
         .where(shared_bytes(F.col("a"), F.col("b")) >= N_BYTES - max_bits)
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     )
@@ -143,7 +155,7 @@ def links(marks: DataFrame, max_bits: int = 2, list_rows: int = 64) -> DataFrame
         return pairs.distinct()
     if max_bits != 2:
         raise ValueError("posting lists too long for pairing are linked for two bits only")
-    crowd = posting.join(long.select("at", "key"), ["at", "key"])
+    crowd = posting.join(long.select(*by), by)
     opened = [[b for p in range(N_BYTES) if p not in s for b in range(8 * p, 8 * p + 8)] for s in sets]
     flips = F.array(
         *[
@@ -151,14 +163,29 @@ def links(marks: DataFrame, max_bits: int = 2, list_rows: int = 64) -> DataFrame
             for bits in opened
         ]
     )
-    sent = crowd.select(
-        "fp", F.explode(F.transform(flips[F.col("at")], lambda m: F.col("fp").bitwiseXOR(m))).alias("value")
-    ).distinct()
-    first = sent.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    near = sent.join(first, "value").where("fp <> a").select("a", F.col("fp").alias("b"))
+    values = F.transform(flips[F.col("at")], lambda m: F.col("fp").bitwiseXOR(m))
+    sent = crowd.select("r", "fp", F.explode(values).alias("value")).distinct()
+    first = sent.groupBy("r", "value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    near = sent.join(first, ["r", "value"]).where("fp <> a").select("r", "a", F.col("fp").alias("b"))
     return pairs.union(near).distinct()
 
 
+def linked(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(node, root) over document ids: documents that share a fingerprint of one kind, or whose
+    fingerprints of one kind link, belong together."""
+    own = rows.where("doc_id IS NOT NULL").select("doc_id", F.posexplode("fps").alias("r", "fp"))
+    marks = stash(own.groupBy("r", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    crowds = marks.where("n > 1").select("r", "fp", "first_id")
+    same = own.join(crowds, ["r", "fp"]).select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
+    near = (
+        links(marks, max_bits)
+        .join(marks.select("r", F.col("fp").alias("a"), F.col("first_id").alias("id_a")), ["r", "a"])
+        .join(marks.select("r", F.col("fp").alias("b"), F.col("first_id").alias("id_b")), ["r", "b"])
+        .select("id_a", "id_b")
+    )
+    return components(same.union(near))
+
+
 def simhash_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -169,16 +196,30 @@ def simhash_dedup(
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id that
     links reach)."""
     rows = stash(fingerprints(docs, id_col, text_col, words_per_shingle))
-    marks = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    found = components(links(marks, max_bits))
-    group = (
-        marks.join(found, marks.fp == found.node, "left")
-        .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    )
-    best = group.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = stash(group.join(best, "root").select("fp", "component_id"))
-    return rows.join(of, "fp").select(
+    found = linked(rows, max_bits)
+    return rows.join(found, rows.doc_id == found.node, "left").select(
         "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+        F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"),
+        F.coalesce("root", "doc_id").alias("component_id"),
     )
+
+
+def drop_near(
+    docs: DataFrame,
+    words_per_shingle: int = 5,
+    n_prints: int = 8,
+    max_bits: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the smallest id.
+
+    Two documents are near if any of ``n_prints`` independent fingerprints of their shingles differ
+    in at most ``max_bits`` bits.  Two of 64 bits is an estimated cosine of 0.995, so one
+    fingerprint alone misses most copies with a few edits; eight tries find over nine tenths of the
+    pairs that share 0.97 of their shingles, and below 0.8 fewer than one pair in forty links.
+    Rows with a null id stay; rows with one id stay or go together.
+    """
+    rows = stash(fingerprints(docs, id_col, text_col, words_per_shingle, n_prints))
+    gone = stash(linked(rows, max_bits).where("node <> root").select(F.col("node").alias("__gone")))
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -99,7 +99,7 @@ def test_long_posting_lists_give_the_same_components(spark):
             v ^= 1 << rng.randrange(64)
         values.add(v)
     values = sorted(v - (1 << 64) if v >= 1 << 63 else v for v in values)
-    marks = spark.createDataFrame([(v,) for v in values], "fp long")
+    marks = spark.createDataFrame([(0, v) for v in values] + [(1, 5)], "r int, fp long")
     want = brute_components({v: v & (1 << 64) - 1 for v in values}, 2)
     for list_rows in (4, 1000):
         found = {r.node: r.root for r in components(simhash.links(marks, 2, list_rows)).collect()}
@@ -113,3 +113,21 @@ def test_simhash_edges(docs_of):
     df = docs_of(["a b c d", "a b c d"], [None, 3])
     assert {(r.doc_id, r.component_id) for r in simhash.simhash_dedup(df).collect()} == {(None, None), (3, 3)}
     assert simhash.simhash_dedup(df.limit(0)).count() == 0
+
+
+def test_drop_near_keeps_one_of_each_group(docs_of):
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(300)) for _ in range(8)]
+    texts = list(base)
+    for b in base:
+        w = b.split()
+        w[150] = "changed"
+        texts.append(" ".join(w))
+    texts += [None, "", "short", "short text"]
+    docs = docs_of(texts)
+    left = simhash.drop_near(docs)
+    kept = {r.doc_id for r in left.collect()}
+    assert left.columns == docs.columns
+    assert set(range(8)) <= kept and {18, 19} <= kept
+    assert len(kept & set(range(8, 16))) <= 1
+    assert len(kept & {16, 17}) == 1  # no words: copies of each other
