@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairgate.llm import exact, packing, quality, simhash, tiling
+from pairgate.llm import chat, exact, packing, quality, simhash, tiling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,3 +71,43 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     )
     return packing.pack(table(spark, sf_dir, "documents"), make, packing.CAPACITY)
+
+
+#: Fixed value: the extra conversation's text.
+EXTRA_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op10_chat_formatting",
+    rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{EXTRA_TEXT}'), (-1, 1, 'assistant', '{EXTRA_TEXT}')),
+e AS (SELECT *, regexp_replace(text, '{chat.ESCAPE}', '\1\\\2\3', 'g') AS safe,
+    regexp_replace(role, '{chat.ESCAPE}', '\1\\\2\3', 'g') AS safe_role, lag(role) OVER w AS before
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(safe) + CASE WHEN before = role THEN 3 ELSE 10 + length(safe_role) END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+)
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(-1).cast("long").alias("conv_id"),
+                        F.lit(turn).cast("long").alias("turn"),
+                        F.lit(role).alias("role"),
+                        F.lit(EXTRA_TEXT).alias("text"),
+                    )
+                    for turn, role in enumerate(("user", "assistant"))
+                ]
+            )
+        )
+    )
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
