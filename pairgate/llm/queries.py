@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgate.llm import chat, exact, packing, quality, simhash, tiling
+from pairgate.llm import chat, exact, packing, quality, simhash, tiling, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,3 +111,45 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+
+
+#: The contract's rules.
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
+
+
+@query(
+    "op1_url_filters",
+    rf"""
+WITH u AS (SELECT DISTINCT coalesce(url, '') AS url FROM pages),
+h AS (SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '=[^&]*', '', 'g') AS keys FROM u),
+t AS (SELECT url, host, path, list_sort(list_distinct(['h:' || x FOR x IN string_split(host, '.') IF x <> '']
+    || ['p:' || x FOR x IN string_split(path, '/') IF x <> ''] || ['q:' || x FOR x IN string_split(keys, '&') IF x <> ''])) AS tokens FROM h),
+rules(rh, rp, rule, rv) AS (VALUES ('org', '/', 'org/', 'allow'), ('example.org', '/es/', 'example.org/es/', 'block'),
+    ('example.org', '/en/1', 'example.org/en/1', 'block'), ('com', '/fr/', 'com/fr/', 'allow'), ('com', '/de/', 'com/de/', 'block')),
+l AS (SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(rv, length(rule)) AS rv
+  FROM t JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY url),
+d AS (SELECT t.*, rule, rv FROM t LEFT JOIN l USING (url)),
+n AS (SELECT count(*) AS n FROM d WHERE rv IS NOT NULL),
+s AS (SELECT rv, [tokens[i] FOR i IN range(1, len(tokens) + 1) IF (m >> (i - 1)::INT) % 2 = 1] AS needed
+  FROM d, unnest(range(1, (1::BIGINT << len(tokens)::INT))) AS r(m) WHERE rv IS NOT NULL),
+p AS (SELECT needed, count(*) FILTER (rv = 'block') AS b, count(*) AS c FROM s GROUP BY needed),
+q AS (SELECT needed, b / c AS confidence, array_to_string(needed, ' ') AS pattern FROM p, n
+  WHERE b >= ceil({urls.MIN_SUPPORT} * n) AND b / c >= {urls.MIN_CONFIDENCE}),
+f AS (SELECT url, max(confidence) AS confidence FROM d JOIN q ON list_has_all(tokens, needed) GROUP BY url),
+g AS (SELECT f.url, f.confidence, max(pattern) AS pattern FROM f JOIN d USING (url)
+  JOIN q ON q.confidence = f.confidence AND list_has_all(tokens, needed) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  confidence, pattern
+FROM pages JOIN d ON coalesce(pages.url, '') = d.url LEFT JOIN g ON g.url = d.url
+""",
+)
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
