@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgate.llm import chat, exact, packing, quality, simhash, tiling, urls
+from pairgate.llm import chat, exact, fmindex, packing, quality, simhash, suffixes, tiling, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,3 +153,32 @@ FROM pages JOIN d ON coalesce(pages.url, '') = d.url LEFT JOIN g ON g.url = d.ur
 )
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query(
+    "op4_substring_dedup",
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, i, array_to_string(w[i:i + {fmindex.THRESHOLD - 1}], ' ') AS k
+  FROM d, unnest(range(1, len(w) - {fmindex.THRESHOLD - 2})) AS t(i) WHERE len(w) >= {fmindex.THRESHOLD}),
+c AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+m AS (SELECT r, i FROM s JOIN c USING (k)),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+f AS (SELECT r, i, word, max(CASE WHEN m.r IS NOT NULL THEN i END) OVER (PARTITION BY r ORDER BY i) AS last
+  FROM p LEFT JOIN m USING (r, i)),
+g AS (SELECT r, i, word, last IS NOT NULL AND i - last < {fmindex.THRESHOLD} AS gone FROM f),
+o AS (SELECT r, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept,
+    count(*) FILTER (starts) AS spans
+  FROM (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), FALSE) AS starts FROM g) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (r)
+""",
+)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.substring_dedup(table(spark, sf_dir, "documents"), fmindex.THRESHOLD)
+
+
+@query("op8_suffix_array_dedup")
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), suffixes.THRESHOLD)
