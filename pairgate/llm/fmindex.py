@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pairgate.llm.repeats import Unit, remove_repeats
 
 THRESHOLD = 35
+#: Words of a window's front that are tried first.
+FRONT = 4
 
 
 @dataclass
@@ -108,32 +110,51 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def matching_intervals(index: Index, segments: list[np.ndarray], queries: np.ndarray, threshold: int) -> list:
-    """(query, from, to) of the maximal intervals, at least ``threshold`` long, that occur again."""
+    """(query, from, to) of maximal intervals, at least ``threshold`` long, that occur again.
+
+    A query walks over its windows from the last to the first; ``end`` is the last undecided
+    window's.  That window is first tried by its front only: if the backward search from ``probe``,
+    a few words into the window, finds a unique string there, every window that holds the string
+    falls with it.  If the front occurs again, a longer front is tried, at last the window itself.
+    """
     text = np.concatenate(segments)
     ends = np.cumsum([len(s) for s in segments])
     start = (ends - [len(s) for s in segments])[queries]
-    end = ends[queries].copy()  # where the present match ends
-    at = end.copy()  # where it begins
+    end = ends[queries].copy()
+    front = np.full(len(queries), min(FRONT, threshold))
+    probe = end - threshold + front
+    at, which = probe.copy(), np.arange(len(queries))
     low, high = np.zeros(len(queries), np.int64), np.full(len(queries), index.size)
-    which = np.arange(len(queries))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(which):
-        more = at > start
-        a, b = low.copy(), high.copy()
-        a[more], b[more] = index.extend(text[at[more] - 1], low[more], high[more])
+        whole = probe == end
+        limit = np.where(whole, start, end - threshold)
+        more = at > limit
+        symbol = text[np.maximum(at - 1, 0)]
+        fresh = more & (at == probe)
+        a = np.where(fresh, index.below[symbol], low)
+        b = np.where(fresh, index.below[symbol + 1], high)
+        step = more & ~fresh
+        a[step], b[step] = index.extend(symbol[step], low[step], high[step])
         grows = more & (index.occurrences(a, b) > 1)
         low, high = np.where(grows, a, 0), np.where(grows, b, index.size)
+        at = np.where(grows, at - 1, at)
         stuck = ~grows
-        long = stuck & (end - at >= threshold)
+        long = stuck & whole & (probe - at >= threshold)
         if long.any():
             out.append((queries[which[long]], (at - start)[long], (end - start)[long]))
-        # The next interval must hold the word that stopped a reported one; after a short match
-        # the next end to try is one word before.
-        next_end = np.where(long, at - 1 + threshold, end - 1)
-        end = np.where(stuck, next_end, end)
-        at = np.where(grows, at - 1, end)
-        left = (end - start >= threshold) & ~(stuck & ~more)
-        which, start, end, at, low, high = (x[left] for x in (which, start, end, at, low, high))
+        # A front that occurs again asks for a longer one.
+        longer = stuck & ~whole & ~more
+        front = np.where(longer, np.minimum(2 * front, threshold), np.where(stuck, min(FRONT, threshold), front))
+        # A unique string that ends at the probe rules out all windows that hold it; what stopped a
+        # reported interval is the first word of the next window.
+        end = np.where(long, at - 1 + threshold, np.where(stuck & ~longer, probe - 1, end))
+        probe = np.where(stuck, end - threshold + front, probe)
+        at = np.where(stuck, probe, at)
+        left = (end - start >= threshold) & ~(long & ~more)
+        which, start, end, probe, at, low, high, front = (
+            x[left] for x in (which, start, end, probe, at, low, high, front)
+        )
     return out
 
 

@@ -158,8 +158,8 @@ def digest(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def segment_rows(docs: DataFrame, unit: Unit, identify: bool) -> DataFrame:
-    """One row per segment: anchor, tie and, to ``identify`` it, s1, s2 (its content), digest, start, n."""
+def segment_rows(docs: DataFrame, unit: Unit) -> DataFrame:
+    """One row per segment: anchor, tie, s1, s2 (its content), and its place: digest, start, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,34 +168,30 @@ def segment_rows(docs: DataFrame, unit: Unit, identify: bool) -> DataFrame:
             for at, text in enumerate(texts):
                 symbols = Symbols(text, unit)
                 a, s, n, t = segments(symbols, unit)
-                anchors.append(a)
-                ties.append(t)
-                if identify:
-                    starts.append(s)
-                    runs.append(n)
-                    owners.append(np.full(len(a), at))
-                    content += [
-                        xxhash.xxh3_128_digest(symbols.part(i, i + k + unit.window - 1))
-                        for i, k in zip(s.tolist(), n.tolist(), strict=True)
-                    ]
+                for column, values in zip((anchors, starts, runs, ties, owners), (a, s, n, t, np.full(len(a), at)), strict=True):
+                    column.append(values)
+                content += [
+                    xxhash.xxh3_128_digest(symbols.part(i, i + k + unit.window - 1))
+                    for i, k in zip(s.tolist(), n.tolist(), strict=True)
+                ]
             flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-            columns = {"anchor": pa.array(flat(anchors, np.uint64).view(np.int64)), "tie": pa.array(flat(ties, bool))}
-            if identify:
-                ids = np.frombuffer(b"".join(content), "<i8").reshape(-1, 2)
-                names = pa.array([digest(t) for t in texts], pa.binary())
-                columns |= {
+            ids = np.frombuffer(b"".join(content), "<i8").reshape(-1, 2)
+            names = pa.array([digest(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "anchor": pa.array(flat(anchors, np.uint64).view(np.int64)),
+                    "tie": pa.array(flat(ties, bool)),
                     "s1": pa.array(ids[:, 0].copy()),
                     "s2": pa.array(ids[:, 1].copy()),
                     "digest": names.take(pa.array(flat(owners, np.int64))),
                     "start": pa.array(flat(starts, np.int64)),
                     "n": pa.array(flat(runs, np.int64)),
                 }
-            yield pa.RecordBatch.from_pydict(columns)
+            )
 
-    schema = "anchor long, tie boolean"
-    if identify:
-        schema += ", s1 long, s2 long, digest binary, start long, n long"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(
+        run, "anchor long, tie boolean, s1 long, s2 long, digest binary, start long, n long"
+    )
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -296,13 +292,16 @@ def solve_pools(parts: DataFrame, solver: Solver) -> DataFrame:
     return parts.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, SPAN)
 
 
+BLOCK = "k1 long, k2 long, p1 long, p2 long, c long, digest binary, start long, n long, part binary"
+
+
 def narrow(parts: DataFrame, unit: Unit, width: int) -> DataFrame:
-    """Cut segments into blocks of windows by their distance to the anchor; (k1, k2) becomes the
-    block and the content that all its windows share."""
+    """Cut segments into blocks of windows by their distance to the anchor: (k1, k2) names the block
+    and the content that all its windows share, (p1, p2) the content of the windows it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            names, out = [], []
             for row in batch.to_pylist():
                 symbols = Symbols(row["part"], unit)
                 grams = gram_hashes(symbols.hashes, unit.gram)
@@ -317,41 +316,59 @@ def narrow(parts: DataFrame, unit: Unit, width: int) -> DataFrame:
                 for i, k in zip(first.tolist(), np.diff(np.append(first, row["n"])).tolist(), strict=True):
                     near = int(block[i]) * width
                     core = symbols.part(int(place[i]) - near, int(place[i]) - near - width + 1 + unit.window)
-                    name = int(anchor).to_bytes(8, "little") + near.to_bytes(8, "little") + core
-                    k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(name), "<i8").tolist()
                     part = symbols.part(i, i + k + unit.window - 1)
-                    out.append((k1, k2, 0, row["c"], row["digest"], row["start"] + i, k, part))
-            yield part_batch(out)
+                    name = int(anchor).to_bytes(8, "little") + near.to_bytes(8, "little") + core
+                    names.append(xxhash.xxh3_128_digest(name) + xxhash.xxh3_128_digest(part))
+                    out.append((row["c"], row["digest"], row["start"] + i, k, part))
+            keys = np.frombuffer(b"".join(names), "<i8").reshape(-1, 4)
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[:, i].copy()) for i in range(4)]
+                + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=[x.split()[0] for x in BLOCK.split(", ")],
+            )
 
-    return parts.mapInArrow(run, PART)
+    return parts.mapInArrow(run, BLOCK)
 
 
 def solve_crowds(parts: DataFrame, unit: Unit, solver: Solver) -> list[DataFrame]:
     """Repeated windows of segments whose anchor has too many for a pool."""
     found = []
     for width in unit.widths:
-        parts = stash(narrow(parts, unit, width).drop("d"))
-        met = parts.groupBy("k1", "k2").agg(F.count("*").alias("d")).where("d > 1")
-        met = stash(met)
+        cut = stash(narrow(parts, unit, width))
         if width == 1:
-            same = parts.join(met, ["k1", "k2"], "left_semi").where("c = 1")
+            met = cut.groupBy("k1", "k2").agg(F.sum("c").alias("n")).where("n > 1")
+            same = cut.where("c = 1").join(met, ["k1", "k2"], "left_semi")
             found.append(same.select("digest", "start", "n"))
             break
-        parts = parts.join(met, ["k1", "k2"]).select(*[x.split()[0] for x in PART.split(", ")])
+        # Blocks of one content go on as one, which counts as often as it needs to: their windows
+        # are repeated.
+        by = ["k1", "k2", "p1", "p2"]
+        different = stash(
+            cut.groupBy(*by).agg(
+                F.sum("c").alias("c"), F.min(F.struct("digest", "start", "n")).alias("at"), F.first("part").alias("part")
+            )
+        )
+        copied = different.where("c > 1").select(*by)
+        found.append(cut.where("c = 1").join(copied, by, "left_semi").select("digest", "start", "n"))
+        met = stash(different.groupBy("k1", "k2").agg(F.count("*").alias("d")).where("d > 1"))
+        parts = different.join(met, ["k1", "k2"]).select(
+            "k1", "k2", "d", F.least("c", F.lit(2)).alias("c"), "at.digest", "at.start", "at.n", "part"
+        )
         found.append(solve_pools(parts.where(F.col("d") <= POOL), solver))
-        parts = parts.where(F.col("d") > POOL)
         if met.where(F.col("d") > POOL).isEmpty():
             break
+        parts = parts.where(F.col("d") > POOL)
     return found
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, solver: Solver) -> DataFrame:
     """(digest, start, n): windows start to start + n - 1 of the text are repeated; spans may overlap."""
-    anchors = segment_rows(docs, unit, identify=False).groupBy("anchor").agg(
-        F.count("*").alias("c"), F.max("tie").alias("tie")
-    )
+    every = stash(segment_rows(docs, unit))
+    anchors = every.groupBy("anchor").agg(F.count("*").alias("c"), F.max("tie").alias("tie"))
     anchors = stash(anchors.where("c > 1 OR tie").select("anchor"))
-    rows = stash(segment_rows(docs, unit, identify=True).join(anchors, "anchor"))
+    rows = stash(every.join(anchors, "anchor"))
     by = ["anchor", "s1", "s2"]
     different = stash(
         rows.groupBy(*by).agg(
