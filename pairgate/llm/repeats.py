@@ -248,7 +248,8 @@ def part_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 #: A solver gets (content, windows, count) of segments and gives a mask of repeated windows each.
 Solver = Callable[[list[tuple[bytes, int, int]]], list[np.ndarray]]
-SPAN = "digest binary, start long, n long"
+#: Windows s to s + n - 1 of a text, for every s of starts.
+SPAN = "digest binary, starts array<long>, n long"
 
 
 def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -258,22 +259,22 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def solve_pools(parts: DataFrame, solver: Solver) -> DataFrame:
-    """Repeated windows of pooled segments as (digest, start, n); pools stay whole, and a batch of
+    """Repeated windows of pooled segments as ``SPAN``; pools stay whole, and a batch of
     them is solved at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list[dict]) -> pa.RecordBatch:
             masks = solver([(r["part"], r["n"], r["c"]) for r in rows])
             out = [
-                (r["digest"], r["start"] + a, k)
+                (r["digest"], [r["start"] + a], k)
                 for r, mask in zip(rows, masks, strict=True)
                 if r["c"] == 1
                 for a, k in spans_of(mask)
             ]
             columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            kinds = (pa.binary(), pa.int64(), pa.int64())
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "start", "n"]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "starts", "n"]
             )
 
         held: list[dict] = []
@@ -292,12 +293,15 @@ def solve_pools(parts: DataFrame, solver: Solver) -> DataFrame:
     return parts.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, SPAN)
 
 
-BLOCK = "k1 long, k2 long, p1 long, p2 long, c long, digest binary, start long, n long, part binary"
+BLOCK = (
+    "k1 long, k2 long, p1 long, p2 long, c long, own boolean, digest binary, starts array<long>, n long, part binary"
+)
 
 
 def narrow(parts: DataFrame, unit: Unit, width: int) -> DataFrame:
     """Cut segments into blocks of windows by their distance to the anchor: (k1, k2) names the block
-    and the content that all its windows share, (p1, p2) the content of the windows it has."""
+    and the content that all its windows share, (p1, p2) the content of the windows it has.  Blocks
+    of one segment that are alike (a line repeated over and over) are one row with all their starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,16 +317,20 @@ def narrow(parts: DataFrame, unit: Unit, width: int) -> DataFrame:
                 block = (place - at) // width
                 new = np.concatenate([[True], (np.diff(place) != 0) | (np.diff(block) != 0)])
                 first = np.flatnonzero(new)
+                alike: dict[bytes, tuple[list[int], int, bytes]] = {}
                 for i, k in zip(first.tolist(), np.diff(np.append(first, row["n"])).tolist(), strict=True):
                     near = int(block[i]) * width
                     core = symbols.part(int(place[i]) - near, int(place[i]) - near - width + 1 + unit.window)
                     part = symbols.part(i, i + k + unit.window - 1)
                     name = int(anchor).to_bytes(8, "little") + near.to_bytes(8, "little") + core
-                    names.append(xxhash.xxh3_128_digest(name) + xxhash.xxh3_128_digest(part))
-                    out.append((row["c"], row["digest"], row["start"] + i, k, part))
+                    name = xxhash.xxh3_128_digest(name) + xxhash.xxh3_128_digest(part)
+                    alike.setdefault(name, ([], k, part))[0].append(row["start"] + i)
+                for name, (starts, k, part) in alike.items():
+                    names.append(name)
+                    out.append((row["c"] * len(starts), row["c"] == 1, row["digest"], starts, k, part))
             keys = np.frombuffer(b"".join(names), "<i8").reshape(-1, 4)
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[:, i].copy()) for i in range(4)]
                 + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -339,19 +347,21 @@ def solve_crowds(parts: DataFrame, unit: Unit, solver: Solver) -> list[DataFrame
         cut = stash(narrow(parts, unit, width))
         if width == 1:
             met = cut.groupBy("k1", "k2").agg(F.sum("c").alias("n")).where("n > 1")
-            same = cut.where("c = 1").join(met, ["k1", "k2"], "left_semi")
-            found.append(same.select("digest", "start", "n"))
+            same = cut.where("own").join(met, ["k1", "k2"], "left_semi")
+            found.append(same.select("digest", "starts", "n"))
             break
         # Blocks of one content go on as one, which counts as often as it needs to: their windows
         # are repeated.
         by = ["k1", "k2", "p1", "p2"]
         different = stash(
             cut.groupBy(*by).agg(
-                F.sum("c").alias("c"), F.min(F.struct("digest", "start", "n")).alias("at"), F.first("part").alias("part")
+                F.sum("c").alias("c"),
+                F.min(F.struct("digest", F.col("starts")[0].alias("start"), "n")).alias("at"),
+                F.first("part").alias("part"),
             )
         )
         copied = different.where("c > 1").select(*by)
-        found.append(cut.where("c = 1").join(copied, by, "left_semi").select("digest", "start", "n"))
+        found.append(cut.where("own").join(copied, by, "left_semi").select("digest", "starts", "n"))
         met = stash(different.groupBy("k1", "k2").agg(F.count("*").alias("d")).where("d > 1"))
         parts = different.join(met, ["k1", "k2"]).select(
             "k1", "k2", "d", F.least("c", F.lit(2)).alias("c"), "at.digest", "at.start", "at.n", "part"
@@ -364,7 +374,7 @@ def solve_crowds(parts: DataFrame, unit: Unit, solver: Solver) -> list[DataFrame
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, solver: Solver) -> DataFrame:
-    """(digest, start, n): windows start to start + n - 1 of the text are repeated; spans may overlap."""
+    """The repeated windows of every text as rows of ``SPAN``, which may overlap."""
     every = stash(segment_rows(docs, unit))
     anchors = every.groupBy("anchor").agg(F.count("*").alias("c"), F.max("tie").alias("tie"))
     anchors = stash(anchors.where("c > 1 OR tie").select("anchor"))
@@ -376,7 +386,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, solver: Solver) -> DataFrame:
         )
     )
     copied = different.where("c > 1").select(*by)
-    found = [rows.join(copied, by, "left_semi").select("digest", "start", "n")]
+    found = [rows.join(copied, by, "left_semi").select("digest", F.array("start").alias("starts"), "n")]
     pools = different.groupBy("anchor").agg(F.count("*").alias("d"), F.max("tie").alias("tie"))
     pools = stash(pools.where("d > 1 OR tie").select("anchor", "d"))
     wanted = different.join(pools, "anchor").select("anchor", "d", "c", "at.digest", "at.start", "at.n")
@@ -399,8 +409,8 @@ def removed(symbols: Symbols, spans: list[dict] | None, unit: Unit) -> tuple[int
     if not spans:
         return symbols.n, 0, 0, hashlib.sha256(symbols.canon).hexdigest()
     change = np.zeros(symbols.n + 1, np.int64)
-    start = np.array([s["start"] for s in spans])
-    n = np.array([s["n"] for s in spans])
+    start = np.concatenate([s["starts"] for s in spans])
+    n = np.repeat([s["n"] for s in spans], [len(s["starts"]) for s in spans])
     np.add.at(change, start, 1)
     np.add.at(change, start + n - 1 + unit.window, -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -416,7 +426,7 @@ def remove_repeats(
     small_text_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     spans = repeated_windows(texts, unit, solver)
-    spans = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = spans.groupBy("digest").agg(F.collect_list(F.struct("starts", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
