@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgate.llm import chat, exact, fmindex, packing, quality, simhash, suffixes, tiling, urls
+from pairgate.llm import chat, exact, fmindex, packing, quality, secrets, simhash, suffixes, tiling, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -182,3 +182,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_array_dedup")
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), suffixes.THRESHOLD)
+
+
+@query("op2_secret_scans")
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
