@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,28 +66,37 @@ class Symbols:
 
     def __init__(self, text: bytes, unit: Unit) -> None:
         self.words = unit.words
-        if not unit.words:
-            self.canon = text
-            self.hashes = BYTE_HASH[np.frombuffer(text, np.uint8)]
-        else:
-            self.canon = b" ".join(text.split())
-            raw = np.frombuffer(self.canon, np.uint8)
-            ends = np.append(np.flatnonzero(raw == 32), len(raw)) if len(raw) else np.zeros(0, np.int64)
-            starts = np.append(0, ends[:-1] + 1)[: len(ends)]
-            self.starts = starts
-            power, inverse = powers(len(raw) + 1)
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(BYTE_HASH[raw] * power[: len(raw)], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * inverse[starts]
-            self.hashes = h ^ (h >> np.uint64(32))
-        self.n = len(self.hashes)
+        self.canon = b" ".join(text.split()) if unit.words else text
+        self.n = self.canon.count(b" ") + bool(self.canon) if unit.words else len(text)
+
+    @cached_property
+    def raw(self) -> np.ndarray:
+        return np.frombuffer(self.canon, np.uint8)
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Where each word ends."""
+        return np.append(np.flatnonzero(self.raw == 32), len(self.raw))[: self.n]
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.append(0, self.ends[:-1] + 1)[: self.n]
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        if not self.words:
+            return BYTE_HASH[self.raw]
+        power, inverse = powers(len(self.raw) + 1)
+        sums = np.zeros(len(self.raw) + 1, np.uint64)
+        np.cumsum(BYTE_HASH[self.raw] * power[: len(self.raw)], out=sums[1:])
+        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
+        return h ^ (h >> np.uint64(32))
 
     def part(self, a: int, b: int) -> bytes:
         """Canonical bytes of the symbols a to b."""
         if not self.words:
             return self.canon[a:b]
-        stop = self.starts[b] - 1 if b < self.n else len(self.canon)
-        return self.canon[self.starts[a] : stop]
+        return self.canon[self.starts[a] : self.ends[b - 1]] if b > a else b""
 
 
 @lru_cache(maxsize=2)
