@@ -46,12 +46,20 @@ def neg_sampling_k(spark, sf_dir):
 
 @query(
     "negative_invariants",
-    """SELECT COUNT(*) FILTER (false) AS n FROM documents""",
+    f"""WITH {_POS},
+c AS (SELECT fold, COUNT(DISTINCT antigen_cluster) AS n FROM pos GROUP BY fold)
+SELECT 0::BIGINT AS n_violations, 2 * COUNT(*) AS n_negatives, COUNT(DISTINCT pair_id) AS n_positives
+FROM pos JOIN c USING (fold) WHERE n > 1""",
 )
 def negative_invariants(spark, sf_dir):
+    """Two negatives for every positive of a fold with several clusters, none breaking an invariant."""
     positives = _positives(spark, sf_dir)
     negatives = S.shuffled_negatives(positives, k=2, seed=11)
-    return S.pair_violations(negatives, positives).agg(F.count(F.lit(1)).alias("n"))
+    broken = S.pair_violations(negatives, positives).agg(F.count(F.lit(1)).alias("n_violations"))
+    made = negatives.agg(
+        F.count(F.lit(1)).alias("n_negatives"), F.count_distinct("pair_id").alias("n_positives")
+    )
+    return broken.join(made)
 
 
 @query(
@@ -107,7 +115,11 @@ def grouped_folds_leakfree(spark, sf_dir):
     )
 
 
-@query("grouped_folds")
+@query(
+    "grouped_folds",
+    f"""WITH g AS (SELECT source, ROW_NUMBER() OVER (ORDER BY {_U.format("source || '|20260601'")}) - 1 AS i FROM (SELECT DISTINCT source FROM documents))
+SELECT doc_id, source, (i % 5)::INT AS fold FROM documents JOIN g USING (source)""",
+)
 def grouped_folds(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return S.assign_folds(docs, "source", n_splits=5, seed=20260601)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,16 +256,29 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def proportional_quotas(sizes: Mapping[str, int], n: int) -> dict[str, int]:
-    """Quota per stratum: proportional with at least one each, trimmed or grown to sum to n."""
+    """Quota per stratum: its rounded share, at least one for each that has rows, ``n`` in all.
+
+    An excess comes off the largest quotas, as if a water level sank over them: all quotas above
+    the level are cut down to it, and what that takes too much the last of them get back.  What is
+    missing goes to the largest stratum.
+    """
     whole = sum(sizes.values())
     if whole == 0:
         return {}
-    quotas = {name: max(1 if size else 0, round(n * size / whole)) for name, size in sizes.items()}
-    while sum(quotas.values()) > n:
-        quotas[max(quotas, key=quotas.__getitem__)] -= 1
-    largest = max(sizes, key=sizes.__getitem__)
-    quotas[largest] += n - sum(quotas.values())
-    return quotas
+    names = list(sizes)
+    wish = np.array([max(min(1, sizes[k]), round(n * sizes[k] / whole)) for k in names])
+    excess = int(wish.sum()) - n
+    if excess > 0:
+        levels = np.arange(wish.max() + 1)
+        removed = np.maximum(wish[None, :] - levels[:, None], 0).sum(axis=1)
+        level = int(levels[removed >= excess].max())
+        spare = int(removed[level]) - excess
+        high = np.flatnonzero(wish > level)
+        wish = np.minimum(wish, level)
+        wish[high[len(high) - spare :]] += 1
+    elif excess < 0:
+        wish[int(np.argmax([sizes[k] for k in names]))] -= excess
+    return {k: int(v) for k, v in zip(names, wish, strict=True)}
 
 
 def quota_head(df: DataFrame, stratum: str, ordinal: str, n: int, quotas: Mapping[str, int] | None = None) -> DataFrame:

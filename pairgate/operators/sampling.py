@@ -10,56 +10,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairgate.functions.text import unit_hash
 from pairgate.operators.ordered import dense_index, running_totals
 
-PERMUTATION_LIMIT = 1_000_000
-RANGE_WIDTH = 64
-
 
 def draw(n: Column, *parts: Column | str) -> Column:
     """Uniform integer in [0, n) determined by the parts."""
     return F.floor(unit_hash(*parts) * n).cast("long")
 
 
-def draw_distinct(n: Column, count: int, row: str, seed: int) -> Column:
+def draw_distinct(n: Column, count: Column | int, row: str, seed: int) -> Column:
     """Array of ``count`` different integers in [0, n), without replacement; NULL if n < count.
 
-    Draw j picks among the n - j positions not taken yet and is shifted past the taken ones.
+    Draw j picks among the n - j positions not taken yet and is shifted past the taken ones.  The
+    draws are folded over one accumulator, so the plan has one size for every count.
     """
-    taken: Column = F.array().cast("array<bigint>")
-    for j in range(count):
-        raw = draw(n - F.lit(j), row, F.lit(seed), F.lit(j))
+    many = F.lit(count) if isinstance(count, int) else count
+
+    def add(taken: Column, j: Column) -> Column:
+        raw = draw(n - j, row, F.lit(seed), j)
         moved = F.aggregate(
             F.array_sort(taken), raw, lambda acc, t: F.when(acc >= t, acc + 1).otherwise(acc)
         )
-        taken = F.concat(taken, F.array(moved))
-    return F.when(n >= count, taken)
+        return F.concat(taken, F.array(moved))
+
+    none = F.array().cast("array<bigint>")
+    drawn = F.aggregate(F.sequence(F.lit(0), many - 1), none, add)
+    return F.when(n >= many, F.when(many > 0, drawn).otherwise(none))
 
 
 def assign_folds(df: DataFrame, group: str, *, n_splits: int, seed: int, name: str = "fold") -> DataFrame:
-    """Grouped folds: no group spans two folds.
+    """Grouped folds: no group spans two folds, and folds differ by one group at most.
 
-    Up to ``PERMUTATION_LIMIT`` groups, the sorted groups are permuted with numpy's generator
-    and dealt modulo ``n_splits``.  The sorting and numbering run in Spark and only the
-    permutation's fold numbers travel.  Larger group sets are dealt by hash instead.
+    The distinct groups are numbered in hash order and dealt modulo ``n_splits``, whatever their
+    number.  A null group is a group.
     """
     groups = df.select(F.col(group).alias("__g")).distinct()
-    n = groups.count()
-    if n > PERMUTATION_LIMIT:
-        return df.withColumn(name, draw(F.lit(n_splits), F.col(group), F.lit(seed)).cast("int"))
-    w = Window.partitionBy(F.lit(0)).orderBy("__g")  # at most PERMUTATION_LIMIT rows
-    numbered = groups.withColumn("__i", F.row_number().over(w) - 1)
-    dealt = np.random.default_rng(seed).permutation(n) % n_splits
-    folds = df.sparkSession.createDataFrame(
-        [(i, int(f)) for i, f in enumerate(dealt)], f"__i int, {name} int"
+    hashed = groups.withColumn("__h", key_of("__g", seed)).withColumn("__t", F.xxhash64("__g").cast("double"))
+    dealt = dense_index(hashed, [], "__h", tie="__t", name="__i").select(
+        "__g", (F.col("__i") % n_splits).cast("int").alias(name)
     )
-    table = numbered.join(F.broadcast(folds), "__i").drop("__i")
-    return df.join(F.broadcast(table), df[group].eqNullSafe(table["__g"])).drop("__g")
+    return df.join(dealt, df[group].eqNullSafe(dealt["__g"])).drop("__g")
+
+
+def key_of(group: str, seed: int) -> Column:
+    """The hash that orders groups; null counts as an empty text."""
+    return unit_hash(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(seed))
 
 
 def shuffled_negatives(
@@ -79,7 +78,11 @@ def shuffled_negatives(
     """
     sizes = positives.groupBy(fold, cluster).agg(F.count(F.lit(1)).alias("w"))
     spans = dense_spans(sizes, fold, cluster, "w")
-    fold_totals = sizes.groupBy(fold).agg(F.sum("w").alias("total"))
+    # Bins as wide as a fold's mean cluster: all spans together touch at most two bins per cluster,
+    # and a bin holds two clusters on average.
+    fold_totals = sizes.groupBy(fold).agg(
+        F.sum("w").alias("total"), F.ceil(F.sum("w") / F.count(F.lit(1))).alias("width")
+    )
     own = spans.select(fold, cluster, F.col("lo").alias("own_lo"), F.col("w").alias("own_w"))
     drawn = (
         positives.select(row, fold, cluster)
@@ -90,16 +93,16 @@ def shuffled_negatives(
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         .withColumn("raw", draw(F.col("room"), row, F.lit(seed), F.col("j"), F.lit("cluster")))
         .withColumn("at", F.col("raw") + F.when(F.col("raw") >= F.col("own_lo"), F.col("own_w")).otherwise(0))
-        .select(row, fold, "j", "at", F.floor(F.col("at") / RANGE_WIDTH).alias("bin"))
+        .select(row, fold, "j", "at", F.floor(F.col("at") / F.col("width")).alias("bin"))
     )
     # Range join by bins: a span is listed in every bin it touches, a draw looks in one bin.
-    binned = spans.select(
+    binned = spans.join(fold_totals, fold).select(
         fold,
         F.col(cluster).alias("neg_cluster"),
         "lo",
         (F.col("lo") + F.col("w")).alias("hi"),
         F.explode(
-            F.sequence(F.floor(F.col("lo") / RANGE_WIDTH), F.floor((F.col("lo") + F.col("w") - 1) / RANGE_WIDTH))
+            F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("lo") + F.col("w") - 1) / F.col("width")))
         ).alias("bin"),
     )
     hits = drawn.join(binned, [fold, "bin"]).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
@@ -161,10 +164,8 @@ def wrong_targets(
     eligible = binders.select(row, key).join(spans, key, "left").select(
         row, key, room.alias("room"), lo.alias("own_lo"), F.coalesce("w", F.lit(0)).alias("own_w")
     )
-    picks = F.coalesce(
-        *[draw_distinct(F.col("room"), size, row, seed) for size in range(m, 0, -1)],
-        F.array().cast("array<bigint>"),
-    )
+    count = F.least(F.lit(m).cast("long"), F.greatest(F.col("room"), F.lit(0).cast("long")))
+    picks = draw_distinct(F.col("room"), count.cast("int"), row, seed)
     return (
         eligible.select(row, "own_lo", "own_w", F.posexplode(picks).alias("j", "raw"))
         .withColumn("position", F.col("raw") + F.when(F.col("raw") >= F.col("own_lo"), F.col("own_w")).otherwise(0))

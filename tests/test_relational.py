@@ -64,13 +64,39 @@ def test_quotas(spark):
     assert got == [0, 1, 2, 3, 4, 5]
 
 
-def test_folds_are_grouped_and_match_numpy(spark):
-    groups = [f"g{i % 17}" for i in range(200)]
+def test_quotas_by_hand(spark):
+    def one_by_one(sizes, n):
+        q = {k: max(1 if v else 0, round(n * v / sum(sizes.values()))) for k, v in sizes.items()}
+        for _ in range(max(0, sum(q.values()) - n)):
+            q[max(q, key=q.get)] -= 1
+        q[max(sizes, key=sizes.get)] += n - sum(q.values())
+        return q
+
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        sizes = {f"s{i}": int(v) for i, v in enumerate(rng.integers(0, rng.choice([3, 30, 300]), rng.integers(1, 9)))}
+        if sum(sizes.values()):
+            n = int(rng.integers(1, 40))
+            assert R.proportional_quotas(sizes, n) == one_by_one(sizes, n)
+
+
+def test_folds_are_grouped_and_even(spark):
+    groups = [f"g{i % 17}" if i % 18 else None for i in range(200)]
     df = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "i long, g string")
-    got = {r["i"]: r["fold"] for r in S.assign_folds(df, "g", n_splits=5, seed=11).collect()}
-    unique = np.unique(groups)
-    dealt = np.random.default_rng(11).permutation(len(unique)) % 5
-    assert all(got[i] == dealt[list(unique).index(g)] for i, g in enumerate(groups))
+    got = {r["i"]: r["fold"] for r in S.assign_folds(df.repartition(3), "g", n_splits=5, seed=11).collect()}
+    assert set(got) == set(range(200))
+    folds = {}
+    for i, g in enumerate(groups):
+        folds.setdefault(g, set()).add(got[i])
+    assert all(len(f) == 1 for f in folds.values())
+    sizes = [sum(f == {k} for f in folds.values()) for k in range(5)]
+    assert sum(sizes) == 18 and max(sizes) - min(sizes) <= 1
+
+
+def test_many_distinct_draws_plan_quickly(spark):
+    df = spark.range(3).withColumn("n", F.lit(60).cast("long") + F.col("id"))
+    rows = df.select("n", S.draw_distinct(F.col("n"), 50, "id", 3).alias("d"), S.draw_distinct(F.lit(3).cast("long"), 4, "id", 3).alias("no")).collect()
+    assert all(len(set(r.d)) == 50 and 0 <= min(r.d) and max(r.d) < r.n and r.no is None for r in rows)
 
 
 def positives(spark, n=400):
