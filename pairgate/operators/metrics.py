@@ -289,19 +289,21 @@ def metric_table(
     *,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """n, class counts, baseline AP, Spearman, AUROC and AP per group, after the finite filter."""
+    """n, class counts, baseline AP, Spearman, AUROC and AP per group, after the finite filter.
+
+    A group none of whose scores is defined keeps its row, with counts 0 and NULL metrics.
+    """
     if not keys:
         whole = df.withColumn("__all", F.lit(0))
         return metric_table(whole, ["__all"], score, label, ordinal, rows_per_bucket=rows_per_bucket).drop("__all")
     ranking = ranking_metrics(df, keys, score, label, rows_per_bucket=rows_per_bucket)
     ap = average_precision(df, keys, score, label, ordinal, rows_per_bucket=rows_per_bucket)
-    joined = ranking.join(ap, list(keys), "left")
+    groups = df.select(*keys).distinct().dropna(subset=list(keys))
+    joined = groups.join(ranking, list(keys), "left").join(ap, list(keys), "left")
     both = (F.col("n_positive") > 0) & (F.col("n_negative") > 0)
     return joined.select(
         *keys,
-        "n",
-        "n_positive",
-        "n_negative",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "n_positive", "n_negative")],
         ratio("n_positive", "n").alias("baseline_ap"),
         "spearman_rho",
         "auroc",

@@ -1,13 +1,16 @@
 """Class-stratified bootstrap confidence intervals, also paired between two score columns.
 
-Up to ``EXACT_ROWS`` rows a group is resampled by one numpy generator in row order, which gives
-the same draws as any other program using that generator and seed.
-
-Larger inputs are resampled without bringing rows together.  Rows are merged to counts per
-distinct (scores, label) and hashed to blocks.  Each replicate first splits its class total over
-the blocks by one multinomial on the block sizes, then inside a block over its rows; together
-that is exactly a draw of n rows with replacement.  A replicate's AUROC and average precision are
-then summed over order buckets of the scores, as in ``ordered``.
+One method for every size.  Rates at a threshold need only counts: a resampled class has a
+binomial (paired: multinomial) number of calls.  AUROC and average precision resample rows without
+bringing them together: rows are merged to counts per distinct (scores, label) and hashed to
+blocks; each replicate first splits its class total over the blocks by one multinomial on the block
+sizes, then inside a block over its rows, which together is exactly a draw of n rows with
+replacement.  A replicate's statistic is then summed over order buckets of the scores, as in
+``ordered``.
+
+The point estimates are those of ``metrics`` on the same rows: threshold statistics take every row
+with a label (an undefined score is not called, an infinite one is), ranking statistics the rows
+with a finite score.  In a replicate of average precision, equal scores put positives first.
 """
 
 from __future__ import annotations
@@ -20,68 +23,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairgate.functions.numeric import is_finite
+from pairgate.functions.numeric import at_least, is_finite
+from pairgate.operators.metrics import auroc, average_precision
 from pairgate.operators.ordered import place, plan_cuts
 
-EXACT_ROWS = 200_000
 REPLICATES_PER_TASK = 50
 ROWS_PER_BLOCK = 50_000
 ROWS_PER_ARM_BUCKET = 100_000
 
 
-def _auroc(s: np.ndarray, y: np.ndarray) -> float:
-    p = y == 1
-    n_pos, n_neg = int(p.sum()), int((~p).sum())
-    if n_pos == 0 or n_neg == 0:
-        return np.nan
-    negatives = np.sort(s[~p])
-    below = np.searchsorted(negatives, s[p], "left") + np.searchsorted(negatives, s[p], "right")
-    return float(below.sum() / 2.0 / (n_pos * n_neg))
-
-
-def _average_precision(s: np.ndarray, y: np.ndarray) -> float:
-    hits = y[np.argsort(-s, kind="stable")] == 1
-    if not hits.any():
-        return np.nan
-    positions = np.flatnonzero(hits) + 1.0
-    return float((np.arange(1, len(positions) + 1) / positions).mean())
-
-
 def _rate(numerator: float, denominator: float) -> float:
     return float(numerator) / float(denominator) if denominator else np.nan
 
 
-def _at_threshold(which: str, threshold: float):
-    def value(s: np.ndarray, y: np.ndarray) -> float:
-        called, pos = s >= threshold, y == 1
-        if which == "recall":
-            return _rate((called & pos).sum(), pos.sum())
-        if which == "specificity":
-            return _rate((~called & ~pos).sum(), (~pos).sum())
-        return _rate((called & pos).sum(), called.sum())
+RANKING = ("auroc", "ap")
+RATES = ("recall", "specificity", "precision")
 
-    return value
 
-
-def statistic(name: str, threshold: float | None = None):
-    """The named statistic as a function of (scores, labels)."""
-    if name == "auroc":
-        return _auroc
-    if name == "ap":
-        return _average_precision
-    if name in ("recall", "specificity", "precision") and threshold is not None:
-        return _at_threshold(name, threshold)
-    raise ValueError(f"unknown statistic {name!r}")
+def check_statistic(name: str, threshold: float | None) -> None:
+    if name not in RANKING and not (name in RATES and threshold is not None):
+        raise ValueError(f"unknown statistic {name!r}")
 
 
-def _rows(df: DataFrame, keys: Sequence[str], scores: Sequence[str], label: str, ordinal: str) -> DataFrame:
+def _rows(
+    df: DataFrame, keys: Sequence[str], scores: Sequence[str], label: str, ordinal: str, threshold: float | None
+) -> DataFrame:
+    """(keys, y, s*, o): scores, or with a threshold the calls (1 or 0) made at it."""
     usable = F.col(label).isNotNull()
-    for s in scores:
-        usable = usable & is_finite(s)
+    if threshold is None:
+        for s in scores:
+            usable = usable & is_finite(s)
+        values = [(F.col(s).cast("double") + 0.0) for s in scores]
+    else:
+        values = [at_least(s, threshold).cast("double") for s in scores]
     return df.where(usable).select(
         *keys,
         F.col(label).cast("int").alias("y"),
-        *[(F.col(s).cast("double") + 0.0).alias(f"s{i}") for i, s in enumerate(scores)],
+        *[v.alias(f"s{i}") for i, v in enumerate(values)],
         F.col(ordinal).cast("long").alias("o"),
     )
 
@@ -91,37 +69,14 @@ def _key_ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
 
-def _exact(rows: DataFrame, keys: Sequence[str], fn, arms: int, n_boot: int, seed: int) -> DataFrame:
-    """(keys, point, value array) by one generator per group, rows in ordinal order."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("o", kind="stable")
-        y = g["y"].to_numpy()
-        s = [g[f"s{i}"].to_numpy(float) for i in range(arms)]
-        delta = lambda at: fn(s[0][at], y[at]) - (fn(s[1][at], y[at]) if arms == 2 else 0.0)
-        pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        rng = np.random.default_rng(seed)
-        found = []
-        for _ in range(n_boot):
-            picked = np.concatenate([rng.choice(pos, len(pos)), rng.choice(neg, len(neg))])
-            v = delta(picked)
-            if np.isfinite(v):
-                found.append(v)
-        head = {k: [g[k].iloc[0]] for k in keys}
-        point = delta(np.arange(len(y)))
-        return pd.DataFrame({**head, "point": [point], "v": [found]})
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{_key_ddl(rows, keys)}point double, v array<double>")
-
-
 def _seeded(seed: int, *parts) -> np.random.Generator:
     """Generator that depends only on the seed and the parts, not on task or attempt."""
     return np.random.default_rng([seed, *[zlib.crc32(repr(p).encode()) for p in parts]])
 
 
-def _threshold_draws(rows: DataFrame, keys: Sequence[str], name: str, threshold: float, n_boot: int, seed: int) -> DataFrame:
+def _threshold_draws(rows: DataFrame, keys: Sequence[str], name: str, n_boot: int, seed: int) -> DataFrame:
     """Threshold rates need four counts: resampled classes have binomial numbers of calls."""
-    called = F.col("s0") >= F.lit(float(threshold))
+    called = F.col("s0") == 1.0
     counts = rows.groupBy(*keys).agg(
         F.count_if(called & (F.col("y") == 1)).alias("tp"),
         F.count_if(called & (F.col("y") == 0)).alias("fp"),
@@ -204,8 +159,9 @@ def _arm_statistic(weighted: DataFrame, keys: Sequence[str], arm: int, name: str
         F.sum(F.when(F.col("y") == 0, F.col("k")).otherwise(0)).alias("n"),
     )
     w = Window.partitionBy(*keys, "chunk", "rep").orderBy("__order_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Renamed to themselves: both sides of the cogroup come from ``placed``.
     offsets = totals.select(
-        *bucket, "rep", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}0") for c in ("p", "n")]
+        *[F.col(c).alias(c) for c in bucket], "rep", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}0") for c in ("p", "n")]
     )
 
     def run(u: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
@@ -250,11 +206,20 @@ def _distributed(rows: DataFrame, keys: Sequence[str], name: str, arms: int, n_b
     for arm in range(1, arms):
         values = values.join(_arm_statistic(weighted, keys, arm, name, rows_per_bucket), [*keys, "chunk", "rep"])
     delta = F.col("v0") - F.col("v1") if arms == 2 else F.col("v0")
-    replicate = F.col("chunk") >= 0
-    return values.groupBy(*keys).agg(
-        F.max(F.when(~replicate, delta)).alias("point"),
-        F.collect_list(F.when(replicate, delta)).alias("v"),  # n_boot numbers
-    )
+    draws = F.collect_list(F.when(F.col("chunk") >= 0, delta)).alias("v")  # n_boot numbers
+    return values.groupBy(*keys).agg(draws).join(_points(rows, keys, name, arms), list(keys)).select(*keys, "point", "v")
+
+
+def _points(rows: DataFrame, keys: Sequence[str], name: str, arms: int) -> DataFrame:
+    """(keys, point): the statistic of the rows themselves, as ``metrics`` defines it."""
+    found = None
+    for arm in range(arms):
+        s = f"s{arm}"
+        one = auroc(rows, keys, s, "y") if name == "auroc" else average_precision(rows, keys, s, "y", "o")
+        one = one.select(*keys, F.col(name).alias(f"p{arm}"))
+        found = one if found is None else found.join(one, list(keys))
+    point = F.col("p0") - F.col("p1") if arms == 2 else F.col("p0")
+    return found.select(*keys, point.alias("point"))
 
 
 def _interval(found: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
@@ -272,25 +237,20 @@ def _interval(found: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
     return found.select(*keys, defined.alias("point"), quantile(alpha / 2).alias("ci_low"), quantile(1 - alpha / 2).alias("ci_high"))
 
 
-def _bootstrap(df, keys, scores, label, ordinal, name, threshold, n_boot, seed, alpha, exact_rows, rows_per_bucket):
+def _bootstrap(df, keys, scores, label, ordinal, name, threshold, n_boot, seed, alpha, rows_per_bucket):
+    check_statistic(name, threshold)
     if not keys:
         whole = df.withColumn("__all", F.lit(0))
-        found = _bootstrap(
-            whole, ["__all"], scores, label, ordinal, name, threshold, n_boot, seed, alpha, exact_rows, rows_per_bucket
-        )
+        found = _bootstrap(whole, ["__all"], scores, label, ordinal, name, threshold, n_boot, seed, alpha, rows_per_bucket)
         return found.drop("__all")
-    rows = _rows(df, keys, scores, label, ordinal)
-    if rows.count() <= exact_rows:
-        return _interval(_exact(rows, keys, statistic(name, threshold), len(scores), n_boot, seed), keys, alpha)
-    statistic(name, threshold)  # rejects unknown names
-    if threshold is not None and len(scores) == 1:
-        return _interval(_threshold_draws(rows, keys, name, threshold, n_boot, seed), keys, alpha)
-    if threshold is not None:
-        # A paired threshold rate depends on four call patterns per class: few distinct units.
-        called = [F.when(F.col(f"s{i}") >= F.lit(float(threshold)), 1.0).otherwise(0.0).alias(f"s{i}") for i in range(len(scores))]
-        flags = rows.select(*keys, "y", *called, "o")
-        return _interval(_paired_rates(flags, keys, name, n_boot, seed), keys, alpha)
-    return _interval(_distributed(rows, keys, name, len(scores), n_boot, seed, rows_per_bucket), keys, alpha)
+    if name in RANKING:
+        rows = _rows(df, keys, scores, label, ordinal, None)
+        draws = _distributed(rows, keys, name, len(scores), n_boot, seed, rows_per_bucket)
+    else:
+        rows = _rows(df, keys, scores, label, ordinal, threshold)
+        draw = _threshold_draws if len(scores) == 1 else _paired_rates
+        draws = draw(rows, keys, name, n_boot, seed)
+    return _interval(draws, keys, alpha)
 
 
 def _paired_rates(flags: DataFrame, keys: Sequence[str], name: str, n_boot: int, seed: int) -> DataFrame:
@@ -341,11 +301,10 @@ def bootstrap_ci(
     n_boot: int = 1000,
     seed: int = 0,
     alpha: float = 0.05,
-    exact_rows: int = EXACT_ROWS,
     rows_per_bucket: int = ROWS_PER_ARM_BUCKET,
 ) -> DataFrame:
     """(keys, point, ci_low, ci_high) of a statistic; NULL where it is undefined."""
-    return _bootstrap(df, keys, [score], label, ordinal, name, threshold, n_boot, seed, alpha, exact_rows, rows_per_bucket)
+    return _bootstrap(df, keys, [score], label, ordinal, name, threshold, n_boot, seed, alpha, rows_per_bucket)
 
 
 def paired_delta(
@@ -361,8 +320,7 @@ def paired_delta(
     n_boot: int = 1000,
     seed: int = 0,
     alpha: float = 0.05,
-    exact_rows: int = EXACT_ROWS,
     rows_per_bucket: int = ROWS_PER_ARM_BUCKET,
 ) -> DataFrame:
     """Interval of statistic(a) - statistic(b), both arms resampled with the same rows."""
-    return _bootstrap(df, keys, [score_a, score_b], label, ordinal, name, threshold, n_boot, seed, alpha, exact_rows, rows_per_bucket)
+    return _bootstrap(df, keys, [score_a, score_b], label, ordinal, name, threshold, n_boot, seed, alpha, rows_per_bucket)
