@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgate.catalogue import labelled_documents, query, rounded, table
+from pairgate.catalogue import SL, labelled_documents, query, rounded, table
 from pairgate.functions import vectors as V
 from pairgate.functions.sequence import chain_features
 from pairgate.operators import bilinear as B
@@ -81,6 +81,31 @@ def logistic_loo(spark, sf_dir):
     return rounded(M.metric_table(scored, ["feature_set"], "score", "y", "ordinal"))
 
 
+@query(
+    "held_out_gradient",
+    "SELECT (l_orderkey % 5)::INT AS fold, COUNT(*) AS n_held_out, (SELECT COUNT(*) FROM lineitem) - COUNT(*) AS n_trained, 0.0::DOUBLE AS gradient FROM lineitem GROUP BY ALL",
+)
+def held_out_gradient(spark, sf_dir):
+    """Each fold's model is the optimum of the other folds: the largest penalised gradient is zero."""
+    lines = _lines(spark, sf_dir)
+    rows = L.design_rows(lines, _LINE_FEATURES, "label", "fold")
+    specs = [L.Spec("oof", tuple(range(len(_LINE_FEATURES))), float(f)) for f in range(5)]
+    out = None
+    for fit in L.fit_many(rows, specs, len(_LINE_FEATURES), l2=1.0):
+        logit = V.linear_logit(_LINE_FEATURES, fit.mean, fit.std, fit.intercept, fit.coef)
+        residual = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)) - F.col("label")
+        trained = F.col("fold") != int(fit.held_out)
+        parts = [F.abs(F.sum(F.when(trained, residual)))]
+        for name, m, s, c in zip(_LINE_FEATURES, fit.mean, fit.std, fit.coef, strict=True):
+            z = (F.col(name) - F.lit(float(m))) / F.lit(float(s))
+            parts.append(F.abs(F.sum(F.when(trained, residual * z)) + F.lit(float(c))))
+        row = lines.agg(
+            F.count_if(~trained).alias("n_held_out"), F.count_if(trained).alias("n_trained"), F.greatest(*parts).alias("gradient")
+        ).select(F.lit(int(fit.held_out)).alias("fold"), "n_held_out", "n_trained", "gradient")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, 3)
+
+
 @query("attribution")
 def attribution(spark, sf_dir):
     return rounded(L.attribution(_document_features(spark, sf_dir), _DOC_FEATURES, "label", l2=1.0))
@@ -142,6 +167,20 @@ def bilinear_fit(spark, sf_dir):
     return rounded(M.confusion(scored, gate.threshold))
 
 
+@query(
+    "bootstrap_point",
+    f"""WITH {SL},
+p AS (SELECT a.lang, AVG(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END)::DOUBLE AS point
+  FROM sl a JOIN sl b ON a.lang = b.lang WHERE a.y = 1 AND b.y = 0 GROUP BY a.lang)
+SELECT lang, round(point, 6) AS point, TRUE AS inside FROM p""",
+)
+def bootstrap_point(spark, sf_dir):
+    """The interval's point is the AUROC of the rows, and lies inside the interval."""
+    found = R.bootstrap_ci(labelled_documents(spark, sf_dir), "auroc", ["lang"], n_boot=200, seed=0)
+    inside = (F.col("ci_low") <= F.col("point")) & (F.col("point") <= F.col("ci_high"))
+    return rounded(found.where(F.col("point").isNotNull())).select("lang", "point", inside.alias("inside"))
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
     docs = labelled_documents(spark, sf_dir)
@@ -151,7 +190,7 @@ def bootstrap_ci(spark, sf_dir):
 @query("bootstrap_rate_ci")
 def bootstrap_rate_ci(spark, sf_dir):
     lines = _lines(spark, sf_dir).withColumn("score", F.col("l_extendedprice"))
-    return rounded(R.bootstrap_ci(lines, "recall", ["fold"], threshold=30000.0, n_boot=1000, exact_rows=0))
+    return rounded(R.bootstrap_ci(lines, "recall", ["fold"], threshold=30000.0, n_boot=1000))
 
 
 @query("paired_delta")

@@ -1,8 +1,8 @@
 """Low-rank bilinear logistic model: score = (A u) . (G v) + b for a pair of vectors (u, v).
 
-Full-batch gradient descent with clipped gradients.  Bounded inputs train inside one task per
-model (folds in parallel); larger ones take one Spark pass per iteration, in which partitions sum
-their gradients and only rank x d numbers reach the driver.
+Full-batch gradient descent with clipped gradients.  Every iteration is one Spark pass, in which
+partitions sum their gradients for all models (folds advance together) and only 2 rank d + 1
+numbers per model, added up in a few slots, reach the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairgate.operators.linear import BROADCAST_CELLS, _merge, load_json, save_json
+from pairgate.operators.linear import _merge, add_arrays, load_json, save_json
 from pairgate.operators.metrics import threshold_for_precision
 
 
@@ -104,11 +104,6 @@ class _Descent:
         return grad * (self.t.max_grad_norm / norm) if norm > self.t.max_grad_norm else grad
 
 
-def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    std = x.std(axis=0)
-    return x.mean(axis=0), np.where(std == 0.0, 1.0, std)
-
-
 def pair_rows(df: DataFrame, u: str, v: str, label: str, fold: str | None) -> DataFrame:
     held = F.col(fold).cast("double") if fold else F.lit(None).cast("double")
     return df.where(F.col(label).isNotNull()).select(
@@ -118,38 +113,7 @@ def pair_rows(df: DataFrame, u: str, v: str, label: str, fold: str | None) -> Da
     )
 
 
-_SCHEMA = "held double, mean array<double>, std array<double>, a array<double>, g array<double>, b double"
-
-
-def _fit_broadcast(rows: DataFrame, held_out: Sequence[float | None], d: int, t: Training) -> list[tuple]:
-    spark = rows.sparkSession
-    data = rows.toPandas()
-    x = np.array(data["x"].tolist(), dtype=float).reshape(len(data), 2 * d)
-    shared = spark.sparkContext.broadcast((x, data["y"].to_numpy(float), data["fold"].to_numpy(float)))
-    folds = list(held_out)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bx, by, bh = shared.value
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                keep = np.ones(len(by), bool) if folds[i] is None else bh != folds[i]
-                px, py = bx[keep], by[keep]
-                if len(py) == 0 or py.min() == py.max():
-                    continue
-                mean, std = _scaled(px)
-                z = (px - mean) / std
-                state = _Descent(d, d, t)
-                for _ in range(t.n_iter):
-                    state.step(*_gradient_sums(z[:, :d], z[:, d:], py, state.a, state.g, state.b), len(py))
-                out.append((folds[i], mean.tolist(), std.tolist(), state.a.ravel().tolist(), state.g.ravel().tolist(), state.b))
-            yield pd.DataFrame(out, columns=["held", "mean", "std", "a", "g", "b"])
-
-    found = spark.range(0, len(folds), 1, len(folds)).mapInPandas(run, _SCHEMA).collect()
-    return [tuple(r) for r in found]
-
-
-def _fit_distributed(rows: DataFrame, held_out: Sequence[float | None], d: int, t: Training) -> list[tuple]:
+def _fit_rows(rows: DataFrame, held_out: Sequence[float | None], d: int, t: Training, n_parts: int) -> list[tuple]:
     stats = rows.select("fold", "y", F.posexplode("x").alias("j", "v")).groupBy("fold", "j").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), F.avg("v").alias("m"), F.var_pop("v").alias("s")
     )
@@ -168,7 +132,7 @@ def _fit_distributed(rows: DataFrame, held_out: Sequence[float | None], d: int,
             states[k], scales[k], sizes[k] = _Descent(d, d, t), (mean, np.where(std == 0, 1.0, std)), n
     for _ in range(t.n_iter):
         current = {k: (held_out[k], *scales[k], s.a, s.g, s.b) for k, s in states.items()}
-        for k, v in _gradient_pass(rows, current, d, t.rank).items():
+        for k, v in _gradient_pass(rows, current, d, n_parts).items():
             cut = t.rank * d
             states[k].step(v[:cut].reshape(t.rank, d), v[cut : 2 * cut].reshape(t.rank, d), float(v[-1]), sizes[k])
     return [
@@ -177,7 +141,7 @@ def _fit_distributed(rows: DataFrame, held_out: Sequence[float | None], d: int,
     ]
 
 
-def _gradient_pass(rows: DataFrame, models: dict, d: int, rank: int) -> dict[int, np.ndarray]:
+def _gradient_pass(rows: DataFrame, models: dict, d: int, n_parts: int) -> dict[int, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -191,22 +155,16 @@ def _gradient_pass(rows: DataFrame, models: dict, d: int, rank: int) -> dict[int
                 ga, gg, gb = _gradient_sums(z[:, :d], z[:, d:], y[keep], a, g, b)
                 v = np.concatenate([ga.ravel(), gg.ravel(), [gb]])
                 totals[k] = totals[k] + v if k in totals else v
-        for k, v in totals.items():
-            yield pd.DataFrame({"k": np.full(len(v), k, np.int32), "j": np.arange(len(v), dtype=np.int32), "v": v})
+        yield pd.DataFrame({"k": list(totals), "v": list(totals.values())})
 
-    out = {k: np.zeros(2 * rank * d + 1) for k in models}
-    summed = rows.mapInPandas(run, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v"))
-    for r in summed.collect():
-        out[r["k"]][r["j"]] = r["v"]
-    return out
+    return add_arrays(rows.mapInPandas(run, "k int, v array<double>"), n_parts)
 
 
-def fit(rows: DataFrame, held_out: Sequence[float | None], d: int, training: Training, *, broadcast_cells: int = BROADCAST_CELLS) -> list[tuple]:
+def fit(rows: DataFrame, held_out: Sequence[float | None], d: int, training: Training) -> list[tuple]:
     """(held_out, mean, std, a, g, b) per model that saw two classes."""
     cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        small = cached.count() * (2 * d + 2) <= broadcast_cells
-        return (_fit_broadcast if small else _fit_distributed)(cached, held_out, d, training)
+        return _fit_rows(cached, held_out, d, training, cached.rdd.getNumPartitions())
     finally:
         cached.unpersist()
 
@@ -220,12 +178,12 @@ def _gate(model: tuple, d: int, rank: int, threshold: float, target: float) -> B
 
 
 def out_of_fold(
-    df: DataFrame, u: str, v: str, label: str, fold: str, d: int, training: Training, *, name: str = "oof", broadcast_cells: int = BROADCAST_CELLS
+    df: DataFrame, u: str, v: str, label: str, fold: str, d: int, training: Training, *, name: str = "oof"
 ) -> DataFrame:
     """Add the logit of the model trained on the other folds (NULL when it had one class)."""
     rows = pair_rows(df, u, v, label, fold)
     folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
-    models = fit(rows, folds, d, training, broadcast_cells=broadcast_cells)
+    models = fit(rows, folds, d, training)
     x = F.concat(F.col(u).cast("array<double>"), F.col(v).cast("array<double>"))
     score = F.lit(None).cast("double")
     for m in models:
@@ -235,10 +193,10 @@ def out_of_fold(
 
 
 def freeze(
-    df: DataFrame, u: str, v: str, label: str, d: int, training: Training, *, target_precision: float, broadcast_cells: int = BROADCAST_CELLS
+    df: DataFrame, u: str, v: str, label: str, d: int, training: Training, *, target_precision: float
 ) -> BilinearGate:
     """Full fit with its threshold chosen on the model's own logits."""
-    models = fit(pair_rows(df, u, v, label, None), [None], d, training, broadcast_cells=broadcast_cells)
+    models = fit(pair_rows(df, u, v, label, None), [None], d, training)
     if not models:
         raise ValueError("cannot freeze a gate on rows of one class")
     gate = _gate(models[0], d, training.rank, 0.0, target_precision)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pairgate.operators import bilinear as B
 from pairgate.operators import linear as L
+from pairgate.operators import metrics as M
 from pairgate.operators import resampling as R
 
 
@@ -26,17 +27,16 @@ def plain_fit(x, y, l2):
     return beta
 
 
-@pytest.mark.parametrize("cells", [10**6, 0])
-def test_full_fit_and_out_of_fold(spark, cells):
+def test_full_fit_and_out_of_fold(spark):
     x, y, df = data(spark)
-    fit = L.fit_full(df, ["a", "b", "c"], "y", l2=1.0, broadcast_cells=cells)
+    fit = L.fit_full(df, ["a", "b", "c"], "y", l2=1.0)
     mean, std = x.mean(0), x.std(0)
     want = plain_fit((x - mean) / std, y, 1.0)
     assert [fit.intercept, *fit.coef] == pytest.approx(want, abs=1e-7)
     intercept, coef = L.raw_scale(fit)
     assert coef == pytest.approx(want[1:] / std, abs=1e-6)
     assert intercept == pytest.approx(want[0] - (mean / std) @ want[1:], abs=1e-6)
-    got = L.out_of_fold(df, ["a", "b", "c"], "y", "fold", l2=1.0, broadcast_cells=cells).orderBy("i").collect()
+    got = L.out_of_fold(df, ["a", "b", "c"], "y", "fold", l2=1.0).orderBy("i").collect()
     oof = np.array([r["oof"] for r in got])
     folds = np.arange(len(y)) % 4
     for f in range(4):
@@ -53,10 +53,9 @@ def test_undefined_rows_and_single_class(spark):
     assert all(v is None for v in got.values())  # each training side has one class
 
 
-@pytest.mark.parametrize("cells", [10**6, 0])
-def test_leave_one_out(spark, cells):
+def test_leave_one_out(spark):
     x, y, df = data(spark, n=16, seed=2)
-    got = L.leave_one_out(df, [("ab", ["a", "b"])], "y", "i", l2=1.0, broadcast_cells=cells).orderBy("i").collect()
+    got = L.leave_one_out(df, [("ab", ["a", "b"])], "y", "i", l2=1.0).orderBy("i").collect()
     for i, r in enumerate(got):
         keep = np.arange(16) != i
         z = x[:, :2]
@@ -88,15 +87,31 @@ def interaction(spark, n=160, d=3):
     return u, v, y, spark.createDataFrame(rows, "ordinal long, u array<double>, v array<double>, y int, fold int")
 
 
-def test_bilinear_paths_agree_and_find_the_interaction(spark, tmp_path):
+def plain_descent(u, v, y, t):
+    """One step after another on arrays in memory."""
+    u, v = ((x - x.mean(0)) / x.std(0) for x in (u, v))
+    rng = np.random.default_rng(t.seed)
+    a = rng.normal(0.0, u.shape[1] ** -0.5, size=(t.rank, u.shape[1]))
+    g = rng.normal(0.0, v.shape[1] ** -0.5, size=(t.rank, v.shape[1]))
+    b = 0.0
+    for _ in range(t.n_iter):
+        r = (1 / (1 + np.exp(-(((u @ a.T) * (v @ g.T)).sum(1) + b))) - y) / len(y)
+        da = np.einsum("n,nr,nd->rd", r, v @ g.T, u) + t.l2 * a
+        dg = np.einsum("n,nr,nd->rd", r, u @ a.T, v) + t.l2 * g
+        da, dg = (x * min(1.0, t.max_grad_norm / np.linalg.norm(x)) for x in (da, dg))
+        a, g, b = a - t.lr * da, g - t.lr * dg, b - t.lr * r.sum()
+    return a.ravel(), g.ravel(), b
+
+
+def test_bilinear_equals_plain_descent_and_finds_the_interaction(spark, tmp_path):
     u, v, y, df = interaction(spark)
     t = B.Training(rank=2, l2=1e-3, lr=0.5, n_iter=15, seed=1)
-    small = B.fit(B.pair_rows(df, "u", "v", "y", "fold"), [None, 0.0], 3, t)
-    large = B.fit(B.pair_rows(df, "u", "v", "y", "fold"), [None, 0.0], 3, t, broadcast_cells=0)
-    for a, b in zip(sorted(small, key=str), sorted(large, key=str)):
-        for p, q in zip(a[1:], b[1:]):
-            assert np.allclose(p, q, atol=1e-9)
-    t = B.Training(rank=2, l2=1e-3, lr=0.5, n_iter=400, seed=1)
+    fold = np.arange(len(y)) % 2
+    fits = {m[0]: m for m in B.fit(B.pair_rows(df.repartition(3), "u", "v", "y", "fold"), [None, 0.0], 3, t)}
+    for held, keep in ((None, fold >= 0), (0.0, fold != 0)):
+        for got, want in zip(fits[held][3:], plain_descent(u[keep], v[keep], y[keep], t)):
+            assert np.allclose(got, want, atol=1e-9)
+    t = B.Training(rank=2, l2=1e-3, lr=2.0, n_iter=60, seed=1)
     gate = B.freeze(df, "u", "v", "y", 3, t, target_precision=0.9)
     x = F.concat("u", "v")
     scored = df.select(gate.logit(x).alias("score"), F.col("y").alias("label"))
@@ -105,6 +120,7 @@ def test_bilinear_paths_agree_and_find_the_interaction(spark, tmp_path):
     assert auroc(scored).first()["auroc"] > 0.9
     gate.save(str(tmp_path / "b.json"))
     assert B.BilinearGate.load(str(tmp_path / "b.json")) == gate
+    t = B.Training(rank=2, l2=1e-3, lr=2.0, n_iter=5, seed=1)
     oof = B.out_of_fold(df, "u", "v", "y", "fold", 3, t)
     assert oof.where("oof is null").count() == 0
 
@@ -129,35 +145,66 @@ def plain_interval(fn, y, n_boot, seed):
     return np.quantile(vals, [0.025, 0.975])
 
 
+def plain_statistic(name, threshold):
+    def auroc(s, y):
+        pairs = np.sign(s[y == 1][:, None] - s[y == 0][None, :])
+        return float((pairs + 1).mean() / 2)
+
+    def ap(s, y):
+        hits = y[np.argsort(-s, kind="stable")]
+        return float((np.cumsum(hits) / np.arange(1, len(y) + 1))[hits == 1].mean())
+
+    def rate(s, y):
+        called = s >= threshold
+        rates = {"recall": called[y == 1], "specificity": ~called[y == 0], "precision": y[called] == 1}
+        return float(np.mean(rates[name]))
+
+    return {"auroc": auroc, "ap": ap}.get(name, rate)
+
+
 @pytest.mark.parametrize("name", ["auroc", "ap", "recall", "precision"])
-def test_bootstrap_exact_and_distributed(spark, name):
+def test_bootstrap_point_and_interval(spark, name):
     a, b, y, df = scores(spark)
     thr = 0.5 if name in ("recall", "precision") else None
-    fn = R.statistic(name, thr)
-    want = plain_interval(lambda at: fn(a[at], y[at]), y, 200, 7)
-    got = R.bootstrap_ci(df, name, score="a", threshold=thr, n_boot=200, seed=7).first()
-    assert (got["ci_low"], got["ci_high"]) == pytest.approx(tuple(want), abs=1e-12)
-    big = R.bootstrap_ci(df, name, score="a", threshold=thr, n_boot=400, seed=7, exact_rows=0, rows_per_bucket=60).first()
-    width = want[1] - want[0]
-    if name == "ap":  # equal scores: positives first when resampled in bulk
-        assert big["point"] == pytest.approx(got["point"], abs=0.05)
-    else:
-        assert big["point"] == pytest.approx(got["point"], abs=1e-12)
-    assert abs(big["ci_low"] - want[0]) < 0.35 * width and abs(big["ci_high"] - want[1]) < 0.35 * width
+    fn = plain_statistic(name, thr)
+    low, high = plain_interval(lambda at: fn(a[at], y[at]), y, 400, 7)
+    for rows_per_bucket in (60, 10_000):
+        got = R.bootstrap_ci(df, name, score="a", threshold=thr, n_boot=400, seed=7, rows_per_bucket=rows_per_bucket).first()
+        assert got["point"] == pytest.approx(fn(a, y), abs=1e-12)
+        assert abs(got["ci_low"] - low) < 0.35 * (high - low) and abs(got["ci_high"] - high) < 0.35 * (high - low)
+
+
+def test_bootstrap_of_tied_and_undefined_scores(spark):
+    tied = spark.createDataFrame([(i, 0.5, int(i >= 30)) for i in range(40)], "ordinal long, score double, label int")
+    point = R.bootstrap_ci(tied, "ap", n_boot=20).first()["point"]
+    assert point == pytest.approx(M.average_precision(tied).first()["ap"], abs=1e-12)
+    rows = [(0, 1.0, 1), (1, None, 1), (2, float("inf"), 1), (3, float("nan"), 1), (4, 0.1, 1), (5, 2.0, 0), (6, None, 0), (7, 3.0, None)]
+    df = spark.createDataFrame(rows, "ordinal long, score double, label int")
+    rates = M.confusion(df, 0.5).first()
+    for name in ("recall", "specificity", "precision"):
+        assert R.bootstrap_ci(df, name, threshold=0.5, n_boot=20).first()["point"] == pytest.approx(rates[name], abs=1e-12)
+    assert rates["recall"] == pytest.approx(0.4)
+    with pytest.raises(ValueError):
+        R.bootstrap_ci(df, "recall")
+
+
+def test_metric_table_keeps_groups_without_scores(spark):
+    rows = [("a", 0, 1.0, 1), ("a", 1, 0.0, 0), ("b", 2, None, 1), ("b", 3, float("nan"), 0)]
+    df = spark.createDataFrame(rows, "g string, ordinal long, score double, label int")
+    got = {r["g"]: r for r in M.metric_table(df, ["g"]).collect()}
+    assert got["a"]["n"] == 2 and got["a"]["auroc"] == 1.0
+    assert (got["b"]["n"], got["b"]["n_positive"], got["b"]["auroc"], got["b"]["ap"]) == (0, 0, None, None)
 
 
 def test_paired_delta(spark):
     a, b, y, df = scores(spark)
-    same = R.paired_delta(df, "auroc", "a", "a", n_boot=50).first()
-    assert (same["point"], same["ci_low"], same["ci_high"]) == (0.0, 0.0, 0.0)
-    big_same = R.paired_delta(df, "auroc", "a", "a", n_boot=60, exact_rows=0, rows_per_bucket=60).first()
-    assert (big_same["point"], big_same["ci_low"], big_same["ci_high"]) == pytest.approx((0, 0, 0), abs=1e-12)
-    want = plain_interval(lambda at: R._auroc(a[at], y[at]) - R._auroc(b[at], y[at]), y, 150, 3)
-    got = R.paired_delta(df, "auroc", "a", "b", n_boot=150, seed=3).first()
-    assert (got["ci_low"], got["ci_high"]) == pytest.approx(tuple(want), abs=1e-12)
-    big = R.paired_delta(df, "auroc", "a", "b", n_boot=300, seed=3, exact_rows=0, rows_per_bucket=60).first()
-    assert big["point"] == pytest.approx(got["point"], abs=1e-12)
-    assert abs(big["ci_low"] - want[0]) < 0.4 * (want[1] - want[0])
-    rate = R.paired_delta(df, "precision", "a", "b", threshold=0.5, n_boot=100, exact_rows=0).first()
-    small = R.paired_delta(df, "precision", "a", "b", threshold=0.5, n_boot=100).first()
-    assert rate["point"] == pytest.approx(small["point"]) and rate["ci_low"] == pytest.approx(small["ci_low"], abs=0.1)
+    same = R.paired_delta(df, "auroc", "a", "a", n_boot=60, rows_per_bucket=60).first()
+    assert (same["point"], same["ci_low"], same["ci_high"]) == pytest.approx((0, 0, 0), abs=1e-12)
+    fn = plain_statistic("auroc", None)
+    low, high = plain_interval(lambda at: fn(a[at], y[at]) - fn(b[at], y[at]), y, 150, 3)
+    got = R.paired_delta(df, "auroc", "a", "b", n_boot=300, seed=3, rows_per_bucket=60).first()
+    assert got["point"] == pytest.approx(fn(a, y) - fn(b, y), abs=1e-12)
+    assert abs(got["ci_low"] - low) < 0.4 * (high - low)
+    rate = R.paired_delta(df, "precision", "a", "b", threshold=0.5, n_boot=100).first()
+    fn = plain_statistic("precision", 0.5)
+    assert rate["point"] == pytest.approx(fn(a, y) - fn(b, y)) and rate["ci_low"] < rate["point"] < rate["ci_high"]
