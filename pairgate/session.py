@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +13,7 @@ def get_spark(app_name: str = "pairgate", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)
@@ -26,15 +25,16 @@ def get_spark(app_name: str = "pairgate", master: str | None = None, **conf: str
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the cluster's shared checkpoint folder.
+    """Reliable checkpoint of ``df`` in the folder of ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is.  Only a session that has
-    none (a local test run) gets a temporary folder.
+    The folder must be one that the driver and all executors share, so there is no default: a
+    session without it is refused.  With ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    (set by ``get_spark``) files go once their DataFrame is no longer used.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            configured = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pairgate-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -17,19 +17,25 @@ from pairgate.functions import text as X
 
 def extras_json(extras: Column, notes: Column) -> Column:
     """One JSON object with sorted keys from the numeric extras and the text notes."""
-    quoted = lambda v: F.concat(
-        F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')
-    )
+
+    def quoted(text: Column) -> Column:
+        """``text`` as a JSON string: Spark's writer does the escaping, its braces are cut off."""
+        field = F.to_json(F.struct(text.alias("t")))
+        return F.substring(field, 6, F.length(field) - 6)
+
     entries = F.array_sort(
         F.concat(
             F.transform(
                 F.map_entries(extras),
                 lambda e: F.struct(e["key"].alias("k"), F.coalesce(e["value"].cast("string"), F.lit("null")).alias("v")),
             ),
-            F.transform(F.map_entries(notes), lambda e: F.struct(e["key"].alias("k"), quoted(e["value"]).alias("v"))),
+            F.transform(
+                F.map_entries(notes),
+                lambda e: F.struct(e["key"].alias("k"), F.coalesce(quoted(e["value"]), F.lit("null")).alias("v")),
+            ),
         )
     )
-    fields = F.transform(entries, lambda e: F.concat(F.lit('"'), e["k"], F.lit('": '), e["v"]))
+    fields = F.transform(entries, lambda e: F.concat(quoted(e["k"]), F.lit(": "), e["v"]))
     return F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}"))
 
 
@@ -170,35 +176,3 @@ def rank_summary(files: DataFrame) -> DataFrame:
     top = F.get("per_rank", F.lit(0))
     rank1 = F.struct(*[top[c].alias(c) for c in ("iptm", "ptm", "mean_plddt", "max_pae", "pdb")])
     return packed.select("id", F.to_json(F.struct(F.col("id").alias("example_id"), rank1.alias("rank1"), "per_rank")).alias("content"))
-
-
-def array_job_command(
-    name: str, n_rows: int, manifest_path: str, script: str, runner: str, log_dir: str, *,
-    account: str, partition: str, time_limit: str, chunk_size: int, max_concurrent: int, qos: str | None = None,
-) -> list[str]:
-    """Batch-scheduler command line for an array job over manifest chunks (built, not run)."""
-    tasks = -(-n_rows // chunk_size)
-    return [
-        "sbatch",
-        f"--account={account}",
-        f"--partition={partition}",
-        *([f"--qos={qos}"] if qos else []),
-        "--gres=gpu:1",
-        f"--time={time_limit}",
-        f"--array=0-{tasks - 1}%{max_concurrent}",
-        f"--output={log_dir}/{name}_%A_%a.out",
-        f"--error={log_dir}/{name}_%A_%a.err",
-        script,
-        manifest_path,
-        str(chunk_size),
-        runner,
-    ]
-
-
-def submitted_job_id(output: str) -> str:
-    """Job number out of the scheduler's reply; anything else raises RuntimeError."""
-    words = output.split("Submitted batch job ", 1)
-    number = words[1].split()[0] if len(words) == 2 and words[1].split() else ""
-    if not number.isdigit():
-        raise RuntimeError(f"no job id in {output!r}")
-    return number

@@ -155,11 +155,6 @@ def test_staging(spark, tmp_path):
     bad = loaders.examples_from_pairs(pairs.withColumn("binder_seq", F.lit("123")))
     with pytest.raises(Exception, match="no usable chains"):
         sinks.multimer_inputs(bad, "/st", "/out").collect()
-    cmd = sinks.array_job_command("af2m", 11, "m.tsv", "s.slurm", "r.py", "/l", account="a", partition="p", time_limit="1:00", chunk_size=5, max_concurrent=4)
-    assert "--array=0-2%4" in cmd and cmd[-3:] == ["m.tsv", "5", "r.py"]
-    assert sinks.submitted_job_id("Submitted batch job 42\n") == "42"
-    with pytest.raises(RuntimeError):
-        sinks.submitted_job_id("error")
     assert sinks.strict_json({"a": [float("nan"), 1.0]}) == {"a": [None, 1.0]}
     payload = lambda v: json.dumps({"iptm": v, "ptm": 0.1, "plddt": [1.0, 3.0], "max_pae": 2.0})
     files = spark.createDataFrame(
