@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from pairgate.catalogue import SL, labelled_documents, query, rounded, table
+from pairgate.catalogue import ORACLES, SL, labelled_documents, query, rounded, table
 from pairgate.operators import metrics as M
 from pairgate.operators import relational as R
 from pairgate.operators.ordered import average_ranks
@@ -166,6 +166,16 @@ def metric_table_long(spark, sf_dir):
     return rounded(M.metric_table(long, ["metric"]))
 
 
+@query("metric_table_bucketed", ORACLES["metric_table_long"])
+def metric_table_bucketed(spark, sf_dir):
+    """The same table with order buckets small enough that every size of input has several."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.expr(_LINE_ORDINAL).alias("ordinal"), (F.col("l_returnflag") == "R").cast("int").alias("label"), *_MEASURES
+    )
+    long = M.unpivot_metrics(lines, ["ordinal", "label"], _MEASURES, lower_is_better=["l_discount"])
+    return rounded(M.metric_table(long, ["metric"], rows_per_bucket=20_000))
+
+
 @query(
     "strata_totals",
     f"""WITH {SL}, st AS (SELECT 'all' AS stratum, s, y, doc_id FROM sl UNION ALL SELECT source, s, y, doc_id FROM sl),

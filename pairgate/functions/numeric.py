@@ -46,8 +46,10 @@ def to_int_or_zero(text: Column | str) -> Column:
 
 
 def strict_double(text: Column | str) -> Column:
-    """Text to double; unreadable text raises (ANSI cast)."""
-    return as_column(text).cast("double")
+    """Text to double; unreadable, blank and missing text raises."""
+    c = as_column(text)
+    filled = F.when(F.trim(F.coalesce(c.cast("string"), F.lit(""))) != "", c)
+    return F.coalesce(filled, F.raise_error(F.lit("a number is missing")).cast("string")).cast("double")
 
 
 def missing_flag(text: Column | str) -> Column:

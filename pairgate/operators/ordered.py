@@ -6,8 +6,8 @@ a bucket, the totals of the earlier buckets are added from a small table.  Where
 changes only the balance, never the result: equal scores always share a bucket, and a score
 that fills whole buckets on its own is divided further along the tie-break column.
 
-The cuts are collected (at most ``MAX_BUCKETS`` numbers) before the plan is built, so that every
-branch of the plan places rows alike.  Inputs that fit one bucket get the plain window.
+The cuts (one number per ``rows_per_bucket`` rows) are collected before the plan is built, so that
+every branch of the plan places rows alike.  Inputs that fit one bucket get the plain window.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
 _BUCKET, _TIE = "__order_bucket", "__tie_bucket"
 
 
@@ -51,7 +50,7 @@ def plan_cuts(
     df: DataFrame, score: str, tie: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> OrderCuts:
     n = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+    buckets = math.ceil(n / rows_per_bucket)
     if buckets <= 1:
         return OrderCuts()
     found = _quantiles(df, score, buckets)

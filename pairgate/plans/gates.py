@@ -199,7 +199,13 @@ def example_features(examples: DataFrame, positive_label: str) -> DataFrame:
     binder = X.normalize_binder(F.get("binder_chains", F.lit(0)))
     target = X.normalize_antigen(F.get("target_chains", F.lit(0)))
     label = (F.col("label") == positive_label).cast("int")
-    return examples.select("id", label.alias("label"), *pair_features(binder, target))
+    return examples.select("id", _ordinal(examples), label.alias("label"), *pair_features(binder, target))
+
+
+def _ordinal(examples: DataFrame) -> Column:
+    """The rows' own order where they have one, else an order by the hash of the id."""
+    own = F.col("ordinal") if "ordinal" in examples.columns else F.xxhash64("id")
+    return own.cast("long").alias("ordinal")
 
 
 def embedded_pairs(pairs: DataFrame, cache: DataFrame, binder: str, antigen: str) -> DataFrame:
@@ -212,6 +218,7 @@ def embedded_pairs(pairs: DataFrame, cache: DataFrame, binder: str, antigen: str
 def embedded_examples(examples: DataFrame, cache: DataFrame, positive_label: str) -> DataFrame:
     rows = examples.select(
         "id",
+        _ordinal(examples),
         (F.col("label") == positive_label).cast("int").alias("label"),
         X.normalize_binder(F.get("binder_chains", F.lit(0))).alias("binder_seq"),
         X.normalize_chains("target_chains").alias("antigen_seq"),
@@ -219,6 +226,19 @@ def embedded_examples(examples: DataFrame, cache: DataFrame, positive_label: str
     return embedded_pairs(rows, cache, "binder_seq", "antigen_seq")
 
 
+def orthogonal_report(
+    examples: DataFrame, gate: LinearGate, positive_label: str, *, n_boot: int = 1000, seed: int = 0
+) -> dict:
+    """A frozen sequence gate on the examples of another data set: features, scores, report.
+
+    Examples of which none is left raise ValueError.
+    """
+    rows = example_features(examples, positive_label)
+    if rows.isEmpty():
+        raise ValueError("no examples to evaluate")
+    return frozen_gate_report(rows.withColumn("score", gate.logit()), gate.threshold, n_boot=n_boot, seed=seed)
+
+
 def layout_columns(layout: str, d: int) -> list[Column]:
     """Named feature columns of a layout over arrays u and v: concat is 2d wide, hadamard d."""
     if layout == "concat":

@@ -83,7 +83,7 @@ def epcam_pairs(examples: DataFrame, training_pairs: DataFrame, *, k: int, seed:
         X.normalize_antigen(F.get("target_chains", F.lit(0))).alias("antigen_seq"),
     )
     R.leakage_guard(positives, training_pairs, ["binder_seq"])
-    reference = positives.first()["antigen_seq"]
+    reference = positives.agg(F.min("antigen_seq")).first()[0]  # one antigen; the first by text if not
     pool = R.first_seen(training_pairs.where(F.col("label") == "1"), "antigen_seq", "ordinal")
     numbered = dense_index(pool, [], "ordinal", name="n").select("antigen_seq", F.col("n").alias("ordinal"))
     allowed = similarity.outside_cluster_of(numbered, reference, "antigen_seq", "ordinal", max_identity=max_identity)

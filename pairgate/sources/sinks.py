@@ -21,7 +21,7 @@ def extras_json(extras: Column, notes: Column) -> Column:
     def quoted(text: Column) -> Column:
         """``text`` as a JSON string: Spark's writer does the escaping, its braces are cut off."""
         field = F.to_json(F.struct(text.alias("t")))
-        return F.substring(field, 6, F.length(field) - 6)
+        return F.when(text.isNotNull(), F.substring(field, 6, F.length(field) - 6))
 
     entries = F.array_sort(
         F.concat(

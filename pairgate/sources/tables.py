@@ -16,14 +16,23 @@ from pairgate.operators.relational import first_wins, last_wins, unpivot_matrix
 
 
 def read_delimited(
-    spark: SparkSession, path: str, columns: Sequence[str] = (), *, sep: str = ",", ordinal: bool = True
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] = (),
+    *,
+    sep: str = ",",
+    ordinal: bool = True,
+    one_line: bool = False,
 ) -> DataFrame:
     """All-string table with header; listed columns the file lacks are added as NULL.
 
+    Quoted cells may hold line breaks, so a file is read by one task; ``one_line`` says that none
+    does, and lets Spark split large files.
+
     ``ordinal`` numbers the rows 0, 1, ... in file order: rows are numbered inside each file
     split, and splits are offset by the row counts of the earlier ones.
     """
-    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=False)
+    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=not one_line)
     raw = reader.csv(path)
     names = list(raw.columns)
     added = [F.lit(None).cast("string").alias(c) for c in columns if c not in names]

@@ -82,3 +82,25 @@ def test_frozen_gate_report(spark):
     only = gates.frozen_gate_report(df.where("label = 0"), 5.5, n_boot=20)
     assert only["recall_ci"] == [None, None] and only["specificity_ci"] == [1.0, 1.0]
     assert M.auroc(df).first()["auroc"] == 1.0
+
+
+def test_blank_numbers_raise(spark):
+    table = planted(spark)
+    blank = table.withColumn("ptm", F.when(F.col("ordinal") == 3, F.lit(" ")).otherwise(F.col("ptm")))
+    with pytest.raises(Exception, match="a number is missing"):
+        gates.rung_table(blank).collect()
+    assert gates.rung_table(table).count() == 60
+
+
+def test_orthogonal_report(spark):
+    from pairgate.operators import linear
+
+    rows = [(f"e{i}", "BIND" if i % 2 else "NONBIND", ["ACDEFGHIKL" * (1 + i % 3)], ["MNPQRSTVWY" * (1 + i % 2)]) for i in range(24)]
+    examples = spark.createDataFrame(rows, "id string, label string, binder_chains array<string>, target_chains array<string>")
+    features = gates.example_features(examples, "BIND")
+    names = [c for c in features.columns if c.endswith("_length")]
+    gate = linear.freeze(features, names, "label", l2=1.0, target_precision=0.5)
+    report = gates.orthogonal_report(examples, gate, "BIND", n_boot=20)
+    assert report["n"] == 24 and report["n_positive"] == 12 and len(report["recall_ci"]) == 2
+    with pytest.raises(ValueError, match="no examples"):
+        gates.orthogonal_report(examples.limit(0), gate, "BIND")

@@ -212,3 +212,23 @@ def test_scorers_on_files(spark, tmp_path):
     feats = {r["pair_id"]: r for r in scoring.feature_rows(pairs, str(root)).collect()}
     assert feats["e1"]["prediction_present"] == 1 and feats["e1"]["iptm"] == 0.6 and feats["e1"]["cdr_mapping_ok"] == 0.0
     assert feats["e3"]["prediction_present"] == 0 and feats["e3"]["iptm"] is None and feats["e3"]["cdr_mapping_ok"] is None
+
+
+def test_quoted_line_breaks_stay_in_one_row(spark, tmp_path):
+    from pairgate.sources.tables import read_delimited
+
+    path = tmp_path / "t.csv"
+    path.write_text('id,note\n1,"two\nlines"\n2,plain\n3,"a ""quoted"" word"\n')
+    rows = read_delimited(spark, str(path)).orderBy("ordinal").collect()
+    assert [(r["id"], r["note"], r["ordinal"]) for r in rows] == [("1", "two\nlines", 0), ("2", "plain", 1), ("3", 'a "quoted" word', 2)]
+
+
+def test_extras_json_is_json(spark):
+    import json
+
+    from pairgate.sources.sinks import extras_json
+
+    note = 'tab\t quote" back\\ line\n'
+    df = spark.createDataFrame([({"b": 1.5, "a": None}, {"why": note, "none": None})], "e map<string,double>, n map<string,string>")
+    text = df.select(extras_json(F.col("e"), F.col("n"))).first()[0]
+    assert json.loads(text) == {"a": None, "b": 1.5, "none": None, "why": note}
