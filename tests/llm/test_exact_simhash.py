@@ -131,3 +131,40 @@ def test_drop_near_keeps_one_of_each_group(docs_of):
     assert set(range(8)) <= kept and {18, 19} <= kept
     assert len(kept & set(range(8, 16))) <= 1
     assert len(kept & {16, 17}) == 1  # no words: copies of each other
+
+
+def test_wide_links_join_all_pairs_that_meet(spark, monkeypatch):
+    from pairgate.llm.components import components
+
+    rng = random.Random(8)
+    prints, n_keys, bits = {}, 30, 20
+    for base in range(6):
+        start = [rng.getrandbits(64) for _ in range(8)]
+        for k in range(25):
+            v = list(start)
+            for _ in range(rng.randrange(14)):
+                v[rng.randrange(8)] ^= 1 << rng.randrange(64)
+            prints[base * 100 + k] = v
+    sets = simhash.position_sets(64, n_keys)
+    assert all(len(set(s)) == 3 for s in sets)
+    byte = lambda v, p: v[p // 8] >> 8 * (p % 8) & 255
+    root = {d: d for d in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            x, y = prints[a], prints[b]
+            meets = any(all(byte(x, p) == byte(y, p) for p in s) for s in sets)
+            if a < b and meets and sum(bin(i ^ j).count("1") for i, j in zip(x, y)) <= bits:
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    signed = lambda v: [i - (1 << 64) if i >> 63 else i for i in v]
+    marks = spark.createDataFrame([(d, signed(v)) for d, v in prints.items()], "id long, fps array<long>")
+    for block in (1024, 4):
+        monkeypatch.setattr(simhash, "LIST_BLOCK", block)
+        found = {r.node: r.root for r in components(simhash.wide_links(marks, 8, n_keys, bits)).collect()}
+        assert {d: found.get(d, d) for d in prints} == {d: find(d) for d in prints}
