@@ -188,12 +188,19 @@ CHAMPLOO_ANTIGEN_META = (
 SPLIT_ORDER = {"all": 0, "random_pair": 1, "held_out_vhh": 2, "held_out_antigen": 3}
 MODEL_ORDER = {"raw_iptm": 0, "logistic_iptm": 1, "logistic_iptm_meta": 2}
 
-# Nested feature rungs: each rung adds one block of columns to the one before it.
+# --- Fixed values: the columns that each feature rung adds to the one before it ---------------
 _RUNG_BLOCKS = (
     ("iptm",),
     ("ptm", "interface_pae", "min_interface_pae", "mean_plddt", "interface_plddt_missing"),
-    GEOMETRY_KEYS,
-    CDR_KEYS[:4],
+    (
+        "n_interface_residues_binder",
+        "n_interface_residues_target",
+        "buried_sasa_proxy_a2",
+        "atom_contacts_5a",
+        "shape_complementarity_proxy",
+        "atom_clash_fraction_2a",
+    ),
+    ("cdr_contact_fraction", "cdr1_contact_fraction", "cdr2_contact_fraction", "cdr3_contact_fraction"),
 )
 
 

@@ -19,10 +19,12 @@ from pairgate.sources.structure_files import atoms_from_files, chain_sequences
 from pairgate.sources.tables import read_texts, relative_files
 
 _NO_NOTES = "map<string,string>"
+#: Characters of an error note that a score row keeps; the whole text would swell every score file.
+NOTE_LENGTH = 200
 
 
 def _note(key: str, value: Column) -> Column:
-    return F.create_map(F.lit(key), F.substring(value, 1, 200))
+    return F.create_map(F.lit(key), F.substring(value, 1, NOTE_LENGTH))
 
 
 def _score_rows(df: DataFrame, name: str, value: Column, extras: Sequence[str], notes: Column | None = None) -> DataFrame:
