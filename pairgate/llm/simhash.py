@@ -13,8 +13,9 @@ instead: within k = 2 bits exactly those pairs link that share a fingerprint or
 neighbour of it, so each sends itself and its neighbours in the open byte positions and links to
 the smallest fingerprint that sent the same value.  That is exact, and linear in the list's length.
 
-``drop_near`` serves word similarities that two bits cannot: it takes several fingerprints as one
-long string of positional bytes, looks up sets of three of them, and verifies by all bits.
+``drop_near`` serves word similarities that two bits cannot.  Documents meet under keys of minimal
+shingle hashes, the bits of several fingerprints keep the unlike apart, and what is left is decided
+by the Jaccard similarity of the whole shingle sets.
 
 Defined cases: null text is empty; no words give the fingerprint zero, linked like any other;
 fewer words than a shingle make one shingle of all of them; rows with one id count as one
@@ -23,8 +24,9 @@ document; null ids keep their fingerprint and are their own component (null); no
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +44,11 @@ N_BYTES = 8
 BLOCK = 1 << 14
 #: Documents of one posting list that are compared with each other at once.
 LIST_BLOCK = 1024
+#: Minimal shingle hashes that make one key of the near-copy stage, and the shingles hashed at once.
+KEY_MINIMA = 3
+MINIMA_BLOCK = 1 << 11
+#: Standard deviations that two near copies' bits may lie above the expected number.
+SPREAD = 8
 #: An odd multiplier that spreads bits, and the bits of every byte value.
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -224,69 +231,77 @@ def position_sets(n_bytes: int, n_keys: int, size: int = 3) -> list[tuple[int, .
     return out[:n_keys]
 
 
-def forest(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the rows that differ in at most ``max_bits`` bits: every row is compared
-    with the rows not reached yet, and at most one edge per row comes out."""
+def forest(
+    prints: np.ndarray, max_bits: int, alike: Callable[[int, np.ndarray], np.ndarray] | None = None
+) -> list[tuple[int, int]]:
+    """A spanning forest of the rows that differ in at most ``max_bits`` bits and that ``alike``, if
+    given, takes too: every row is compared with the rows not reached yet, and at most one edge per
+    row comes out."""
     unseen, edges = np.arange(len(prints)), []
     while len(unseen):
         stack, unseen = [int(unseen[0])], unseen[1:]
         while stack and len(unseen):
             a = stack.pop()
             near = np.bitwise_count(prints[unseen] ^ prints[a]).sum(axis=1, dtype=np.int64) <= max_bits
+            if alike is not None and near.any():
+                near[near] = alike(a, unseen[near])
             edges += [(a, b) for b in unseen[near].tolist()]
             stack += unseen[near].tolist()
             unseen = unseen[~near]
     return edges
 
 
-def wide_links(marks: DataFrame, n_prints: int, n_keys: int, max_bits: int) -> DataFrame:
+def block_pairs(met: DataFrame, name: str) -> DataFrame:
+    """``met`` (id, ``name``, n, ...) with (low, high): the ``n`` rows of a name meet in blocks of
+    about ``LIST_BLOCK``, every two blocks in one group, so a group is bounded."""
+    met = met.withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    block = F.explode(
+        F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1),
+            lambda c: F.struct(F.least("own", c).alias("low"), F.greatest("own", c).alias("high")),
+        )
+    )
+    rest = [c for c in met.columns if c not in ("id", name, "n", "blocks", "own")]
+    return met.select("id", name, *rest, block.alias("block")).select("id", name, *rest, "block.*")
+
+
+def wide_links(
+    marks: DataFrame, n_prints: int, n_keys: int, max_bits: int, keys: str | None = None
+) -> DataFrame:
     """(a, b): links of ``marks`` (id, fps) whose components are those of all pairs that share a
     posting key and differ in at most ``max_bits`` of all bits.
 
-    A key is the value of three of the 8 ``n_prints`` positional bytes.  The rows of a key meet in
-    blocks of about ``LIST_BLOCK``, every two blocks in one group, so a group is bounded.
+    Posting keys are the column ``keys`` if named, else ``n_keys`` values of three of the
+    8 ``n_prints`` positional bytes.
     """
 
     def byte(at: int) -> Column:
         return F.shiftrightunsigned(F.col("fps")[at // N_BYTES], 8 * (at % N_BYTES)).bitwiseAND(F.lit(0xFF))
 
-    keys = [
-        F.xxhash64(F.lit(i), *[byte(p) for p in s]) for i, s in enumerate(position_sets(N_BYTES * n_prints, n_keys))
-    ]
-    posting = marks.select("id", F.explode(F.array(*keys)).alias("key"))
+    if keys is None:
+        sets = position_sets(N_BYTES * n_prints, n_keys)
+        values = F.array(*[F.xxhash64(F.lit(i), *[byte(p) for p in s]) for i, s in enumerate(sets)])
+    else:
+        values = F.col(keys)
+    posting = marks.select("id", F.explode(values).alias("key"))
     sizes = stash(posting.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     # The number of shared keys grows with the corpus: always a join by key, never a broadcast.
-    met = posting.join(sizes.hint("merge"), "key").withColumn(
-        "blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int")
-    )
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    met = met.withColumn("own", own).select(
-        "id",
-        "key",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.col("blocks") - 1),
-                lambda c: F.struct(F.least("own", c).alias("low"), F.greatest("own", c).alias("high")),
-            )
-        ).alias("block"),
-    )
+    met = block_pairs(posting.join(sizes.hint("merge"), "key"), "key")
     group = ["key", "low", "high"]
-    rows = met.select("id", "key", "block.*").join(marks.select("id", "fps").hint("merge"), "id")
+    rows = met.join(marks.select("id", "fps").hint("merge"), "id")
+    kind = marks.schema["id"].dataType.simpleString()
+    id_type = pa.binary() if kind == "binary" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, prints = None, [], []
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
 
         def close() -> None:
             if len(ids) > 1:
                 found = forest(np.array(prints, np.int64).view(np.uint64), max_bits)
                 out.extend((ids[a], ids[b]) for a, b in found)
 
-        def made() -> pa.RecordBatch:
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in (*group, "id", "fps")]
             for *name, i, fps in zip(*columns, strict=True):
@@ -295,12 +310,142 @@ def wide_links(marks: DataFrame, n_prints: int, n_keys: int, max_bits: int) -> D
                     held, ids, prints = name, [], []
                 ids.append(i)
                 prints.append(fps)
-            yield made()
+            yield edge_batch(out, id_type)
         close()
-        yield made()
+        yield edge_batch(out, id_type)
 
     met = rows.select(*group, "id", "fps").repartition(*group).sortWithinPartitions(*group)
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def edge_batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    """The edges held in ``out``, which is emptied."""
+    ends = [pa.array([edge[k] for edge in out], kind) for k in (0, 1)]
+    out.clear()
+    return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+
+def minima_keys(shingles: np.ndarray, n_keys: int) -> list[int]:
+    """Posting keys of a shingle set, as signed longs: each names ``KEY_MINIMA`` minimal hashes, so
+    two sets share one with their Jaccard similarity to that power."""
+    factors = np.random.default_rng(1).integers(0, 1 << 64, n_keys * KEY_MINIMA, np.uint64) | np.uint64(1)
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), MINIMA_BLOCK):
+        low = np.minimum(low, (factors[:, None] * shingles[at : at + MINIMA_BLOCK]).min(axis=1))
+    rows = low.reshape(n_keys, KEY_MINIMA)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def shingle_marks(docs: DataFrame, words_per_shingle: int, n_prints: int, n_keys: int) -> DataFrame:
+    """(doc_id, text) to (doc_id, text_sha256, mark, fps, keys): ``mark`` is a digest of the set of
+    shingles, the fingerprints and keys are those of the set."""
+    small_text_batches(docs.sparkSession)
+    schema = "doc_id long, text_sha256 string, mark binary, fps array<long>, keys array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            shas, marks, fps, keys = [], [], [], []
+            for text in raw_texts(batch.column("text")):
+                shingles = np.unique(shingle_hashes(text, words_per_shingle))
+                shas.append(hashlib.sha256(text).hexdigest())
+                marks.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                prints = majorities(shingles, n_prints)
+                fps.append(np.array(prints, np.uint64).view(np.int64).tolist())
+                keys.append(minima_keys(shingles, n_keys))
+            columns = [pa.array(shas, pa.string()), pa.array(marks, pa.binary())]
+            columns += [pa.array(fps, longs), pa.array(keys, longs)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *columns], names=["doc_id", "text_sha256", "mark", "fps", "keys"]
+            )
+
+    return docs.mapInArrow(run, schema)
+
+
+def set_links(near: DataFrame, words_per_shingle: int, similarity: float, max_bits: int) -> DataFrame:
+    """(a, b): links of ``near`` (root, low, high, id, fps, text) whose components are those of all
+    pairs of one group that differ in at most ``max_bits`` bits and whose shingle sets have a Jaccard
+    similarity of at least ``similarity``."""
+    group = ["root", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, prints, sets = None, [], [], []
+        out: list[tuple] = []
+
+        def close() -> None:
+            sizes = np.array([len(s) for s in sets])
+
+            def alike(a: int, rest: np.ndarray) -> np.ndarray:
+                mine, own = sets[a], sizes[rest]
+                taken = np.minimum(own, len(mine)) >= similarity * np.maximum(own, len(mine)) - 1e-6
+                if not len(mine) or not taken.any():
+                    return np.zeros(len(rest), bool)
+                tried, own = rest[taken], own[taken]
+                theirs = np.concatenate([sets[i] for i in tried])
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                owner = np.repeat(np.arange(len(tried)), own)
+                shared = np.bincount(owner, mine[at] == theirs, len(tried))
+                taken[taken] = shared / (len(mine) + own - shared) >= similarity
+                return taken
+
+            if len(ids) > 1:
+                found = forest(np.array(prints, np.int64).view(np.uint64), max_bits, alike)
+                out.extend((ids[a], ids[b]) for a, b in found)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*group, "id", "fps")]
+            for *name, i, fps, text in zip(*columns, raw_texts(batch.column("text")), strict=True):
+                if name != held:
+                    close()
+                    held, ids, prints, sets = name, [], [], []
+                if ids and ids[-1] == i:
+                    continue  # the text is there more than once
+                ids.append(i)
+                prints.append(fps)
+                sets.append(np.unique(shingle_hashes(text, words_per_shingle)))
+            yield edge_batch(out, pa.binary())
+        close()
+        yield edge_batch(out, pa.binary())
+
+    met = near.select(*group, "id", "fps", "text").repartition(*group).sortWithinPartitions(*group, "id")
+    return met.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def near_groups(
+    docs: DataFrame, words_per_shingle: int, similarity: float, n_prints: int, n_keys: int
+) -> DataFrame:
+    """(doc_id, text_sha256, kept) of (doc_id, text): of each group of near copies the row with the
+    smallest id, null after all others, is kept."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # the cosine of sets of one size
+    n_bits = 64 * n_prints
+    max_bits = math.ceil(n_bits * share + SPREAD * math.sqrt(n_bits * share * (1 - share)))
+    rows = stash(shingle_marks(docs, words_per_shingle, n_prints, n_keys))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256"))
+    marks = rows.groupBy("mark").agg(first.alias("first"), F.first("fps").alias("fps"), F.first("keys").alias("keys"))
+    # A name in the order of the ids, so the smallest name of a component is the row that stays.
+    name = F.concat(
+        F.when(F.col("first.none"), "01").otherwise("00"),
+        F.lpad(F.hex(F.coalesce("first.doc_id", F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"),
+        F.hex("mark"),
+    )
+    marks = stash(marks.select(F.unhex(name).alias("id"), "mark", "first", "fps", "keys"))
+    loose = stash(components(wide_links(marks, n_prints, n_keys, max_bits, "keys")))
+    sizes = loose.groupBy("root").agg((F.count("*") + 1).alias("n"))
+    members = loose.select(F.col("node").alias("id"), "root").union(
+        sizes.select(F.col("root").alias("id"), "root")
+    )
+    members = members.join(sizes, "root").join(
+        marks.select("id", "fps", F.col("first.text_sha256").alias("text_sha256")), "id"
+    )
+    texts = docs.select("text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    near = block_pairs(members, "root").join(texts, "text_sha256")
+    found = components(set_links(near, words_per_shingle, similarity, max_bits))
+    stays = marks.join(found.where("node <> root"), F.col("id") == F.col("node"), "left_anti")
+    kept = (F.col("text_sha256") == F.col("first.text_sha256")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    return rows.select("doc_id", "text_sha256", "mark").join(stays.select("mark", "first"), "mark", "left").select(
+        "doc_id", "text_sha256", F.coalesce(kept, F.lit(False)).alias("kept")
+    )
 
 
 def drop_near(
@@ -308,25 +453,24 @@ def drop_near(
     words_per_shingle: int = 5,
     similarity: float = 0.8,
     n_prints: int = 8,
-    n_keys: int = 96,
+    n_keys: int = 24,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the smallest id.
 
-    Near copies share ``similarity`` of their shingles (Jaccard), as estimated from the differing
-    bits of ``n_prints`` fingerprints (64 positional bytes): 77 of 512 bits for 0.8.  The index
-    finds a pair if one of ``n_keys`` sets of three bytes agrees: about 0.85 of the pairs at 0.8,
-    0.97 at 0.85 and nearly all above.  Chance meetings grow with the corpus over 2**24; beyond a
-    few billion documents a key should take four bytes.
+    Near copies are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or
+    more.  Only how they meet is left to chance: a pair at 0.8 shares none of ``n_keys`` keys of
+    three minimal hashes with probability 3e-8, and the bits of ``n_prints`` fingerprints part only
+    rows that differ in ``SPREAD`` standard deviations more than is expected at 0.8 (142 of 512
+    bits).  Rows that meet loosely make components; inside them shingle sets are compared.
 
     Rows with a null id stay; rows with one id stay or go together.
     """
-    overlap = 2 * similarity / (1 + similarity)  # the cosine of sets of one size
-    max_bits = int(64 * n_prints * math.acos(overlap) / math.pi)
-    rows = stash(fingerprints(docs, id_col, text_col, words_per_shingle, n_prints).where("doc_id IS NOT NULL"))
-    marks = stash(rows.groupBy("fps").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    same = rows.join(marks.where("n > 1"), "fps").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    found = components(same.union(wide_links(marks, n_prints, n_keys, max_bits)))
-    gone = stash(found.where("node <> root").select(F.col("node").alias("__gone")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    decided = stash(
+        near_groups(texts.where("doc_id IS NOT NULL"), words_per_shingle, similarity, n_prints, n_keys)
+    )
+    ids = decided.groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = stash(ids.where("NOT kept").select(F.col("doc_id").alias("__gone")))
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -168,3 +168,54 @@ def test_wide_links_join_all_pairs_that_meet(spark, monkeypatch):
         monkeypatch.setattr(simhash, "LIST_BLOCK", block)
         found = {r.node: r.root for r in components(simhash.wide_links(marks, 8, n_keys, bits)).collect()}
         assert {d: found.get(d, d) for d in prints} == {d: find(d) for d in prints}
+
+
+def shingle_set(text, k=5):
+    w = text.split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def brute_near(texts, similarity=0.8):
+    """The places of the texts that stay: the first of each component of near copies."""
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] | sets[b])
+            if not both or len(sets[a] & sets[b]) / both >= similarity:
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def graded_copies(rng):
+    """Pairs whose similarities lie around 0.8 to 0.95, sparse enough that pairs stay pairs."""
+    texts, similarities = [], []
+    for n in (8, 13, 40, 200, 600):
+        for target in (0.75, 0.79, 0.8, 0.81, 0.85, 0.9, 0.95):
+            for _ in range(6):
+                w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+                copy = w + [f"w{rng.randrange(10**6)}" for _ in range(round((n - 4) * (1 / target - 1)))]
+                texts += [" ".join(w), " ".join(copy)]
+                a, b = shingle_set(texts[-2]), shingle_set(texts[-1])
+                similarities.append(len(a & b) / len(a | b))
+    return texts, similarities
+
+
+def test_drop_near_equals_brute_force_jaccard(docs_of, monkeypatch):
+    texts, similarities = graded_copies(random.Random(21))
+    assert sum(0.8 <= s <= 0.82 for s in similarities) > 20 and sum(0.77 < s < 0.8 for s in similarities) > 5
+    # A repeated line weighs once; a chain of copies hangs together.
+    texts += ["a b c d e f g " * 30 + "h", "a b c d e f g " * 90 + "h"]
+    chain = [f"c{i}" for i in range(100)]
+    texts += [" ".join(chain[i : i + 80]) for i in range(0, 20, 4)]
+    want = brute_near(texts)
+    for block in (1024, 2):
+        monkeypatch.setattr(simhash, "LIST_BLOCK", block)
+        assert {r.doc_id for r in simhash.drop_near(docs_of(texts)).collect()} == want
