@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairgate.llm.common import WHITE, raw_texts, small_text_batches, stash
@@ -145,6 +145,13 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row is named by its id; only rows whose id is null or repeated are told apart by their text.
     """
     decided = stash(exact_dedup(docs, id_col, text_col))
+    bare = F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITE.decode(), "")
+    return rows_that_stay(docs, decided, F.sha2(bare, 256), id_col, text_col)
+
+
+def rows_that_stay(docs: DataFrame, decided: DataFrame, sha: Column, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` kept by ``decided`` (doc_id, text_sha256, kept), whose digest is ``sha``
+    of a row.  Of kept rows with one id and digest the one with the longest text stays."""
     unclear = stash(
         decided.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id")
     )
@@ -161,10 +168,9 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
         .distinct()
     )
-    bare = F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITE.decode(), "")
     told = docs.join(
         unclear.select(F.col("doc_id").alias("__id")), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi"
-    ).withColumn("__text", F.sha2(bare, 256))
+    ).withColumn("__text", sha)
     told = (
         told.join(
             stays,

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from pairgate.llm.common import FOLD, raw_texts, small_text_batches, stash
 from pairgate.llm.components import components
+from pairgate.llm.exact import rows_that_stay
 
 SEED = 42
 N_BYTES = 8
@@ -465,12 +466,10 @@ def drop_near(
     rows that differ in ``SPREAD`` standard deviations more than is expected at 0.8 (142 of 512
     bits).  Rows that meet loosely make components; inside them shingle sets are compared.
 
-    Rows with a null id stay; rows with one id stay or go together.
+    A row is named by its text: rows whose id is null or repeated are compared and dropped like any
+    other, a null id orders after every other id, and of rows with one id and text one stays.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    decided = stash(
-        near_groups(texts.where("doc_id IS NOT NULL"), words_per_shingle, similarity, n_prints, n_keys)
-    )
-    ids = decided.groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = stash(ids.where("NOT kept").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    decided = stash(near_groups(texts, words_per_shingle, similarity, n_prints, n_keys))
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    return rows_that_stay(docs, decided, sha, id_col, text_col)

@@ -219,3 +219,19 @@ def test_drop_near_equals_brute_force_jaccard(docs_of, monkeypatch):
     for block in (1024, 2):
         monkeypatch.setattr(simhash, "LIST_BLOCK", block)
         assert {r.doc_id for r in simhash.drop_near(docs_of(texts)).collect()} == want
+
+
+def test_drop_near_compares_rows_with_null_or_repeated_ids(docs_of):
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    near = [t + " more" for t in base]
+    texts = [base[0], near[0], base[1], near[1], base[2], near[2], base[3], base[4], near[4], base[4]]
+    #        two null ids      null and not      one id, copies    one id, unlike      null, 3 rows
+    ids = [None, None, None, 7, 8, 8, 8, None, 9, None]
+    left = simhash.drop_near(docs_of(texts, ids))
+    got = {(r.doc_id, texts.index(r.text)) for r in left.collect()}
+    assert len(got) == left.count() == 5
+    assert {(7, 3), (8, 6), (9, 8)} <= got
+    assert len(got & {(None, 0), (None, 1)}) == 1  # either of the two is the first
+    assert len(got & {(8, 4), (8, 5)}) == 1
+    assert simhash.drop_near(docs_of(["a"]).limit(0)).count() == 0
