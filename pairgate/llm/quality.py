@@ -9,8 +9,9 @@ cached in the model.  A score is the logistic of the difference of the classes'
 
 What reaches the driver is one row per class and entry of the product matrix, whatever the input's
 size.  Defined cases: null text is empty; empty texts are scored like any other; labels that are
-null or not 0/1 are ignored; without rows of both classes fitting raises ValueError; several
-labels of one document all count; repeated documents are scored each.
+null or not 0/1 are ignored; no documents give an empty result; with learnt rows of one class only
+every text gets the share of class 1 as its score (0 or 1); documents without any learnt row raise
+ValueError; several labels of one document all count; repeated documents are scored each.
 """
 
 from __future__ import annotations
@@ -112,6 +113,16 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(-np.clip(density[1] - density[0], -500.0, 500.0)))
 
 
+@dataclass
+class Prior:
+    """The same score for every text: there is nothing to tell two classes apart by."""
+
+    value: float
+
+    def score(self, values: np.ndarray) -> np.ndarray:
+        return np.full(len(values), self.value)
+
+
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, statistics): one row per document."""
     small_text_batches(docs.sparkSession)
@@ -145,7 +156,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def fit(labelled: DataFrame, pool: float = 0.1, ridge: float = 0.01) -> Discriminant:
+def fit(labelled: DataFrame, pool: float = 0.1, ridge: float = 0.01) -> Discriminant | Prior:
     """Fit on (statistics, label).  A class covariance is ``1 - pool`` of its own and ``pool`` of the
     pooled one, then ``1 - ridge`` of that and ``ridge`` of its mean variance on the diagonal."""
     k = len(NAMES) + 1
@@ -155,8 +166,10 @@ def fit(labelled: DataFrame, pool: float = 0.1, ridge: float = 0.01) -> Discrimi
     for row in entries.groupBy("c", "i", "j").agg(F.sum("value").alias("value")).collect():
         sums[row.c, row.i, row.j] = row.value
     n = sums[:, 0, 0]
+    if n.sum() < 1:
+        raise ValueError("labelled rows are needed")
     if n.min() < 1:
-        raise ValueError("labelled rows of both classes are needed")
+        return Prior(n[1] / n.sum())
     total = sums.sum(0)
     centre = total[0, 1:] / n.sum()
     scale = np.sqrt(np.maximum(np.diag(total)[1:] / n.sum() - centre**2, 1e-12))
@@ -177,7 +190,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit_labels(values: DataFrame, labels: DataFrame, label_col: str = "quality") -> Discriminant:
+def fit_labels(values: DataFrame, labels: DataFrame, label_col: str = "quality") -> Discriminant | Prior:
     known = labels.select("doc_id", F.col(label_col).alias("label")).where("label IN (0, 1)")
     return fit(values.where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
 
@@ -185,7 +198,7 @@ def fit_labels(values: DataFrame, labels: DataFrame, label_col: str = "quality")
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     values = stash(document_statistics(docs))
-    model = fit_labels(values, labels)
+    model = Prior(0.5) if values.isEmpty() else fit_labels(values, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +219,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` predicted good, all columns.  Rows are judged where they are scanned,
     so nothing is joined back; the statistics are computed once to fit and once to judge."""
+    if docs.isEmpty():
+        return docs
     model = fit_labels(document_statistics(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

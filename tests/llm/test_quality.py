@@ -76,3 +76,17 @@ def test_keep_good_agrees_with_scores(spark, docs_of):
     assert quality.score_documents(docs.limit(120), labels).where("doc_id < 0").count() == 0
     with pytest.raises(ValueError):
         quality.score_documents(docs, labels.limit(0))
+
+
+def test_no_documents_or_labels_of_one_class(spark, docs_of):
+    docs = docs_of([t for _, t in texts(40, 6)])
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    for known in (labels, labels.limit(0)):
+        assert quality.score_documents(docs.limit(0), known).count() == 0
+        left = quality.keep_good(docs.limit(0), known)
+        assert left.columns == docs.columns and left.count() == 0
+    for value in (0, 1):
+        one = labels.selectExpr("doc_id", f"{value} AS quality")
+        got = quality.score_documents(docs, one).collect()
+        assert len(got) == 40 and all((r.score, r.predicted) == (value, value) for r in got)
+        assert quality.keep_good(docs, one).count() == 40 * value
