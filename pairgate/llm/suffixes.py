@@ -1,12 +1,14 @@
 """Suffix-array dedup: byte strings that start in more than one place are removed, by prefix doubling.
 
-Doubling starts at positions that sampling keeps in step across texts: Spark ranks the anchors of
-``repeats`` (32 bytes each) and drops those of rank one, then ranks pairs of anchor and segment.
+Doubling starts at positions that sampling keeps in step across texts: Spark counts the anchors of
+``repeats`` (32 bytes each) by hash and drops those that occur once, then counts pairs of anchor and
+segment.
 Where equal anchors lead different segments, Spark sorts the segments by anchor, and within the
 sorted pools every byte position is ranked by its first 8 bytes, then by the pair of its own rank
 and the rank at a growing offset (8, 16, 32 ... up to the threshold); a position drops out once its
 rank is unique, and the positions still alive past the threshold start repeated strings.
-Anchors with too many segments for a pool are ranked on by Spark, by ever longer shared contents.
+Anchors with too many segments for a pool are narrowed by ever longer shared contents, down to a
+count of equal window hashes.  Spark itself sorts no position-rank pairs (README, changed methods).
 """
 
 from __future__ import annotations
