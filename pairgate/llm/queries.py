@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgate.llm import chat, exact, fmindex, packing, quality, secrets, simhash, suffixes, tiling, urls
+from pairgate.llm import chat, exact, fmindex, packing, quality, repair, secrets, simhash, suffixes, tiling, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,3 +187,48 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_secret_scans")
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i] || range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS hit FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+e AS (SELECT conv_id, turn, role, text, left(role, 1) AS g, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before,
+    regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM e),
+s AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}} AS v FROM f
+  UNION ALL SELECT conv_id, i, q, min(v) FROM (
+    SELECT m.conv_id, f.i, CASE e WHEN 'D' THEN p WHEN 'K' THEN CASE g WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE p WHEN 2 THEN 3 ELSE 2 END END AS q,
+      {{'c': c + CASE e WHEN 'D' THEN 3 ELSE (CASE e WHEN 'R' THEN 2 ELSE 0 END) + (fault = 'truncated')::BIGINT END, 'a': a || e,
+        'l': CASE e WHEN 'D' THEN l WHEN 'K' THEN l || [role || ':' || text] ELSE l || [CASE p WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END}} AS v
+    FROM (SELECT s.conv_id, s.i, CASE WHEN k = 0 THEN q WHEN (q = 2) = (k = 1) THEN 3 ELSE 2 END AS p, v.c + 2 * k AS c, v.a || repeat('I', k::INT) AS a,
+        v.l || list_transform(range(k), lambda j: CASE WHEN (q = 2) = (j = 0) THEN 'assistant:' ELSE 'user:' END) AS l
+      FROM s, range(3) AS r(k)) AS m
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.i = m.i + 1, (VALUES ('D'), ('K'), ('R')) AS x(e)
+    WHERE e = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR (g = 's' AND p = 0) OR (g = 'u' AND p <> 2) OR (g = 'a' AND p = 2)))
+  ) GROUP BY conv_id, i, q),
+n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || g NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+o AS (SELECT n.conv_id, min({{'c': v.c + 2 * k, 'a': v.a || repeat('I', k::INT), 'l': v.l || list_transform(range(k), lambda j:
+      CASE WHEN (q = 2) = (j = 0) THEN 'assistant:' ELSE 'user:' END)}}) AS v
+  FROM n JOIN s ON s.conv_id IS NOT DISTINCT FROM n.conv_id AND s.i = n.n, range(3) AS r(k)
+  WHERE CASE WHEN k = 0 THEN q IN (0, 3) ELSE (q = 2) = (k = 1) END GROUP BY n.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(v.c, 0) AS cost, coalesce(v.a, '') AS audit,
+  sha256(coalesce(array_to_string(v.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair_report(rows, repair.damage(rows))
