@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgate.llm import chat, divergence, exact, fmindex, packing, quality, repair, secrets, simhash, suffixes, tiling, urls
+from pairgate.llm import chat, divergence, exact, fmindex, katz, packing, quality, repair, secrets, simhash, suffixes, tiling, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -259,3 +259,9 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 )
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lm_scoring")
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("doc_id").cast("string").cast("binary")
+    return katz.katz(table(spark, sf_dir, "documents"), F.crc32(name) % 10 == 0).scores
