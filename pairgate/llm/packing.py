@@ -12,12 +12,14 @@ length by its scan partition's offset and its rank there, and the patterns own r
 
 Defined cases: null text is empty; an empty text is its end token alone; a document longer than
 ``capacity`` is cut into full pieces, the first piece takes the remainder; repeated documents are
-packed each; null ids are kept; an empty table gives an empty result.
+packed each; null ids are kept; texts of any length and of any one character are encoded whole; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -36,6 +38,8 @@ CAPACITY = 2048
 END = 0
 #: Fixed value: the public word pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The faster encoder's pattern engine recurses along white space and dies of very long runs.
+LONG_SPACE = re.compile(r"\s{10000}")
 #: Second lengths tried for each first length of a pattern of three.
 SECONDS = 24
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
@@ -46,7 +50,8 @@ def encoder(vocabulary: str, ranks: str | None = None) -> Callable[[], Callable[
 
     The files (a megabyte or two) are read by the driver and travel with the task.  With ``ranks``,
     the same vocabulary in the other library's form, texts without special-token strings take that
-    library's faster encoder, which gives the same ids.
+    library's faster encoder, which gives the same ids, unless they have very long runs of white
+    space.
     """
     with open(vocabulary, encoding="utf-8") as f:
         described = f.read()
@@ -65,7 +70,8 @@ def encoder(vocabulary: str, ranks: str | None = None) -> Callable[[], Callable[
         fast = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
         def quick(text: str) -> list[int]:
-            return plain(text) if any(s in text for s in special) else fast.encode_ordinary(text)
+            slowly = any(s in text for s in special) or LONG_SPACE.search(text)
+            return plain(text) if slowly else fast.encode_ordinary(text)
 
         return quick
 

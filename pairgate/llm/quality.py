@@ -10,8 +10,8 @@ cached in the model.  A score is the logistic of the difference of the classes'
 What reaches the driver is one row per class and entry of the product matrix, whatever the input's
 size.  Defined cases: null text is empty; empty texts are scored like any other; labels that are
 null or not 0/1 are ignored; no documents give an empty result; with learnt rows of one class only
-every text gets the share of class 1 as its score (0 or 1); documents without any learnt row raise
-ValueError; several labels of one document all count; repeated documents are scored each.
+every text gets the share of class 1 as its score (0 or 1); without any learnt row every score is 0.5
+and ``keep_good``, which has no ground to reject a text, keeps all; several labels of one document all count; repeated documents are scored each.
 """
 
 from __future__ import annotations
@@ -118,6 +118,7 @@ class Prior:
     """The same score for every text: there is nothing to tell two classes apart by."""
 
     value: float
+    learnt: bool = True
 
     def score(self, values: np.ndarray) -> np.ndarray:
         return np.full(len(values), self.value)
@@ -167,7 +168,7 @@ def fit(labelled: DataFrame, pool: float = 0.1, ridge: float = 0.01) -> Discrimi
         sums[row.c, row.i, row.j] = row.value
     n = sums[:, 0, 0]
     if n.sum() < 1:
-        raise ValueError("labelled rows are needed")
+        return Prior(0.5, learnt=False)
     if n.min() < 1:
         return Prior(n[1] / n.sum())
     total = sums.sum(0)
@@ -198,7 +199,7 @@ def fit_labels(values: DataFrame, labels: DataFrame, label_col: str = "quality")
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     values = stash(document_statistics(docs))
-    model = Prior(0.5) if values.isEmpty() else fit_labels(values, labels)
+    model = fit_labels(values, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,9 +220,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` predicted good, all columns.  Rows are judged where they are scanned,
     so nothing is joined back; the statistics are computed once to fit and once to judge."""
-    if docs.isEmpty():
-        return docs
     model = fit_labels(document_statistics(docs), labels)
+    if isinstance(model, Prior) and not model.learnt:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -85,3 +85,11 @@ def test_pieces_tile_documents_and_sequences(docs_of, parts):
 
 def test_empty_table(docs_of):
     assert packing.pack(docs_of(["a"]).limit(0), packing.encoder(JSON, RANKS)).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "\t" * 2_000_000, "\u3000" * 700_000, "x" * 2_000_000])
+def test_very_long_runs_of_one_character(spark, text):
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = packing.pack(docs, packing.encoder(JSON, RANKS), packing.CAPACITY).collect()
+    want = len(Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in got if r.doc_id == 1) == want

@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pytest
 
 from pairgate.llm import quality
 
@@ -74,8 +73,9 @@ def test_keep_good_agrees_with_scores(spark, docs_of):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
     assert quality.score_documents(docs.limit(120), labels).where("doc_id < 0").count() == 0
-    with pytest.raises(ValueError):
-        quality.score_documents(docs, labels.limit(0))
+    # Without labels nothing is known: every text has score 0.5.
+    assert {(r.score, r.predicted) for r in quality.score_documents(docs, labels.limit(0)).collect()} == {(0.5, 0)}
+    assert quality.keep_good(docs, labels.limit(0)).count() == 120
 
 
 def test_no_documents_or_labels_of_one_class(spark, docs_of):
