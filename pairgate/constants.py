@@ -30,6 +30,9 @@ VDW_RADII = {"C": 1.70, "N": 1.55, "O": 1.52, "S": 1.80, "P": 1.80}
 VDW_RADIUS_DEFAULT = 1.70
 BACKBONE_ATOMS = ("N", "CA", "C", "O")
 INTERFACE_CUTOFF = 8.0
+# Published definition of the interface quality score: cutoffs in Angstrom and scales.
+QUALITY_CONTACT_CUTOFF, QUALITY_INTERFACE_CUTOFF = 5.0, 10.0
+QUALITY_IRMSD_SCALE, QUALITY_LRMSD_SCALE = 1.5, 8.5
 CONTACT_CUTOFFS = (4, 6, 8)
 ATOM_CONTACT_CUTOFF = 5.0
 ATOM_CLOSE_CUTOFF = 3.0

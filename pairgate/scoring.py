@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairgate import constants as C
 from pairgate import schemas
-from pairgate.operators import chain_roles, confidence, geometry, superpose
+from pairgate.operators import chain_roles, confidence, geometry, interface_quality, superpose
 from pairgate.session import cut_lineage
 from pairgate.sources.registry import SCORERS
 from pairgate.sources.structure_files import atoms_from_files, chain_sequences
@@ -201,8 +201,9 @@ def protenix_confidence(examples: DataFrame, predictions_root: str) -> DataFrame
 
 
 @SCORERS.register("rmsd_to_crystal")
-def rmsd_to_crystal(examples: DataFrame, predictions_root: str) -> DataFrame:
-    """Binder RMSD after superposing the target; DockQ is an external tool and reported as absent."""
+def rmsd_to_crystal(examples: DataFrame, predictions_root: str, interface_score: bool = False) -> DataFrame:
+    """Binder RMSD after superposing the target; with ``interface_score`` also the quality of the best
+    interface, as ``dockq_best``.  The external tool of that name is reported as absent otherwise."""
     spark = examples.sparkSession
     found, atoms, roles, failures = _roles_and_atoms(spark, examples, predictions_root, "positional")
     crystals = examples.where(F.col("complex_pdb_path").isNotNull()).select("id", F.col("complex_pdb_path").alias("path"))
@@ -232,6 +233,12 @@ def rmsd_to_crystal(examples: DataFrame, predictions_root: str) -> DataFrame:
     present = pred.select(F.col("structure_id").alias("id")).distinct()
     crys = cut_lineage(chain_roles.assign(crystal_atoms, crystal_ids.join(present, "id", "left_semi")))
     features = superpose.rmsd_features(pred, crys).withColumnsRenamed({"structure_id": "id", "error": "pair_error"})
+    absent = F.create_map(F.lit("dockq_error"), F.lit("ModuleNotFoundError: DockQ is not installed"))
+    if interface_score:
+        best = F.col("quality_best").alias("dockq_best")
+        quality = interface_quality.best_quality(pred, crys).select(F.col("structure_id").alias("id"), best)
+        features = features.join(quality, "id", "left")
+        absent = F.when(F.col("dockq_best").isNull(), F.create_map(F.lit("dockq_error"), F.lit("no native interface")))
     joined = (
         examples.select("id")
         .join(found.withColumn("found", F.lit(True)), "id", "left")
@@ -242,7 +249,6 @@ def rmsd_to_crystal(examples: DataFrame, predictions_root: str) -> DataFrame:
         .join(features, "id", "left")
     )
     error = F.coalesce("mismatch", "error", "crystal_error", "pair_error")
-    absent = F.create_map(F.lit("dockq_error"), F.lit("ModuleNotFoundError: DockQ is not installed"))
     notes = (
         F.when(F.col("found").isNull(), _note("missing", F.lit("prediction")))
         .when(F.col("has_crystal").isNull(), _note("missing", F.lit("crystal")))
