@@ -71,6 +71,7 @@ def load_all() -> None:
         models,
         relational,
         sampling,
+        sequences,
         structures,
         text,
     )
