@@ -6,7 +6,8 @@ everything unseen.  Counts are discounted by Good-Turing (``discounts``), and bo
 the mass that the seen words of h leave free to the others, so that every distribution sums to 1.
 
 Documents are scanned once, in chunks of neighbouring documents.  A chunk keeps its words as local
-numbers (its program) and asks for each of its distinct n-grams once: sorted 64-bit keys, cut by
+numbers (its program, a row of a table bucketed by chunk, so that answers join it without its being
+shuffled) and asks for each of its distinct n-grams once: sorted 64-bit keys, cut by
 their leading bits into buckets.  A bucket's task counts its n-grams over all chunks, writes its
 part of the model table (level, bucket, keys, counts), and answers every chunk.  For each order the
 chunks then add up, over the n-grams they own (each belongs to one chunk), what the seen words of a
@@ -26,6 +27,7 @@ one class of unseen words; an empty table gives an empty result; other columns p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -37,18 +39,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgate.llm.common import FOLD, raw_texts, small_text_batches, stash
+from pairgate.llm.common import FOLD, raw_texts, shared_dir, small_text_batches, stash
 
 #: Words in an n-gram.
 ORDER = 2
 #: Tokens of a chunk, and text bytes that a bucket is planned for.
-CHUNK, BUCKET_BYTES = 4_000_000, 16 << 20
+CHUNK, BUCKET_BYTES = 3_000_000, 16 << 20
 #: Counts up to this one are discounted by Good-Turing.
 MOST_DISCOUNTED = 7
 #: Fixed values of the base score.
 ADDED = 0.1
 #: No words of a text: its end, and what stands before it.
 END, BEFORE = b"\n", b"\t"
+#: Tasks that chunks are dealt to, at most; bytes of text for a token, to plan with.
+MOST_CHUNK_BUCKETS, BYTES_OF_TOKEN = 20_000, 6
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LITTLE = 1e-12
 
@@ -114,6 +118,7 @@ class Chunk(NamedTuple):
             code[1:] = low.at[:-1].astype(np.int64) * n + self.stream[1:]
             code[self.first] = -1
             found, index, at = np.unique(code, return_index=True, return_inverse=True)
+            at = at.astype(np.int32)
             history, word = found // n, found % n
             keys = mixed(low.keys[history], self.words[word])
             if len(found) and found[0] < 0:
@@ -142,6 +147,10 @@ SCHEMA = pa.schema(list(zip(NAMES, TYPES)))
 PROGRAM, ASKED, COUNTED, SUMMED, HISTORY, TABLE = range(6)
 
 
+PROGRAM_COLUMNS = ["kind", "a", "b", "uid", "doc_id", "held_out", "first", "scored"]
+ANSWER = ["kind", "level", "bucket", "a", "b"]
+
+
 def row_of(**values) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([values], schema=SCHEMA)
 
@@ -155,8 +164,8 @@ def by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
             yield bucket, slice(cuts[bucket], cuts[bucket + 1])
 
 
-def scan(order: int, bits: int, size: int) -> Callable:
-    """(doc_id, text, held_out) to chunks: a program, and what the chunk asks for."""
+def scan(order: int, size: int) -> Callable:
+    """(doc_id, text, held_out) to the programs of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -180,22 +189,15 @@ def scan(order: int, bits: int, size: int) -> Callable:
                 return
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
             place = np.argsort(words, kind="stable")
-            number = np.empty(len(words), np.int64)
+            number = np.empty(len(words), np.uint32)
             number[place] = np.arange(len(words))
             uid, doc_id, held_out, first, scored = zip(*pieces)
-            chunk = Chunk(words[place], number[np.concatenate(stream)], np.array(uid), list(doc_id), np.array(held_out), np.array(first), np.array(scored))
             name = task + chunks
             chunks += 1
             yield row_of(
-                chunk=name, kind=PROGRAM, a=packed(chunk.words, True), b=packed(chunk.stream.astype(np.uint32)),
+                chunk=name, kind=PROGRAM, a=packed(words[place], True), b=packed(number[np.concatenate(stream)]),
                 uid=list(uid), doc_id=list(doc_id), held_out=list(held_out), first=list(first), scored=list(scored),
             )
-            learnt = chunk.is_scored() & ~np.repeat(chunk.held_out, chunk.sizes())
-            for m, level in enumerate(chunk.levels(order), 1):
-                n = np.bincount(level.at[learnt], minlength=len(level.keys))[level.rank].astype(np.uint32)
-                keys = level.keys[level.rank]
-                for bucket, part in by_bucket(keys, bits):
-                    yield row_of(chunk=name, kind=ASKED, level=m, bucket=bucket, a=packed(keys[part], True), b=packed(n[part]))
 
         start()
         for batch in batches:
@@ -216,7 +218,7 @@ def scan(order: int, bits: int, size: int) -> Callable:
                     for w in part:
                         if w not in known:
                             known[w] = len(known)
-                    numbers = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
+                    numbers = np.fromiter(map(known.__getitem__, part), np.int32, len(part))
                     total = pieces[-1][3] + len(stream[-1]) if pieces else 0
                     pieces.append((uid, doc_id, held_out, total, total + back))
                     stream.append(numbers)
@@ -227,6 +229,25 @@ def scan(order: int, bits: int, size: int) -> Callable:
     return run
 
 
+def ask(order: int, bits: int) -> Callable:
+    """Programs to what their chunks ask for: distinct n-grams and how often training has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk, _ = read_chunk([row])
+                learnt = chunk.is_scored() & ~np.repeat(chunk.held_out, chunk.sizes())
+                for m, level in enumerate(chunk.levels(order), 1):
+                    n = np.bincount(level.at[learnt], minlength=len(level.keys))[level.rank].astype(np.uint32)
+                    keys = level.keys[level.rank]
+                    for bucket, part in by_bucket(keys, bits):
+                        yield row_of(
+                            chunk=row["chunk"], kind=ASKED, level=m, bucket=bucket, a=packed(keys[part], True), b=packed(n[part])
+                        )
+
+    return run
+
+
 def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows of a sorted stream, key by key."""
     now, held = None, []
@@ -320,10 +341,10 @@ class Model(NamedTuple):
 def read_chunk(rows: list[dict]) -> tuple[Chunk, dict]:
     """A chunk and its answers: (kind, level) to arrays in key order."""
     chunk, answers = None, {}
-    for r in sorted(rows, key=lambda r: (r["kind"], r["level"] or 0, r["bucket"] or 0)):
+    for r in sorted(rows, key=lambda r: (r["kind"], r.get("level") or 0, r.get("bucket") or 0)):
         if r["kind"] == PROGRAM:
             chunk = Chunk(
-                unpacked(r["a"], np.uint64, True), unpacked(r["b"], np.uint32).astype(np.int64), np.array(r["uid"]),
+                unpacked(r["a"], np.uint64, True), unpacked(r["b"], np.uint32).astype(np.int32), np.array(r["uid"]),
                 r["doc_id"], np.array(r["held_out"], bool), np.array(r["first"]), np.array(r["scored"]),
             )
         else:
@@ -356,22 +377,21 @@ def known_levels(chunk: Chunk, answers: dict, model: Model, order: int) -> tuple
 def sum_histories(model: Model, m: int, order: int, bits: int) -> Callable:
     """Chunks to the sums of the histories of m-grams: total, mass kept, shorter probability."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (name,), rows in grouped(batches, "chunk"):
-            chunk, answers = read_chunk(rows)
-            levels, counted, p = known_levels(chunk, answers, model, order)
-            level, below = levels[m - 1], levels[m - 2]
-            n, mine = counted[m - 1]
-            own = np.flatnonzero((mine > 0) & (n > 0))
-            at = level.history[own]
-            sums = [
-                np.bincount(at, x, len(below.keys))[below.rank]
-                for x in (n[own], model.discount[m - 1].mass(n[own]), p[m - 2][level.shorter[own]])
-            ]
-            keys = below.keys[below.rank]
-            for bucket, part in by_bucket(keys, bits):
-                a, *rest = packed(keys[part], True), *[packed(x[part]) for x in sums]
-                yield row_of(chunk=name, kind=SUMMED, level=m, bucket=bucket, a=a, **dict(zip("bcd", rest)))
+    def run(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        chunk, answers = read_chunk(rows)
+        levels, counted, p = known_levels(chunk, answers, model, order)
+        level, below = levels[m - 1], levels[m - 2]
+        n, mine = counted[m - 1]
+        own = np.flatnonzero((mine > 0) & (n > 0))
+        at = level.history[own]
+        sums = [
+            np.bincount(at, x, len(below.keys))[below.rank]
+            for x in (n[own], model.discount[m - 1].mass(n[own]), p[m - 2][level.shorter[own]])
+        ]
+        keys = below.keys[below.rank]
+        for bucket, part in by_bucket(keys, bits):
+            a, *rest = packed(keys[part], True), *[packed(x[part]) for x in sums]
+            yield row_of(chunk=rows[0]["chunk"], kind=SUMMED, level=m, bucket=bucket, a=a, **dict(zip("bcd", rest)))
 
     return run
 
@@ -400,25 +420,33 @@ PARTS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, b
 def evaluate(model: Model, order: int) -> Callable:
     """Chunks to sums per document, or part of one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, "chunk"):
-            chunk, answers = read_chunk(rows)
-            levels, counted, p = known_levels(chunk, answers, model, order)
-            n = counted[0][0]
-            real = chunk.is_scored()
-            word = levels[0].at
-            below = model.total + ADDED * (model.distinct + 1)
-            columns = [real, real & (n > 0)[word]]
-            with np.errstate(divide="ignore"):  # 'nothing before' has no probability and no token
-                columns += [
-                    np.where(real, np.log10((n + ADDED) / below)[word], 0.0),
-                    np.where(real, np.log10(p[-1])[levels[-1].at], 0.0),
-                ]
-            sums = [np.add.reduceat(c, chunk.first, dtype=t) for c, t in zip(columns, (np.int64, np.int64, np.float64, np.float64))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.uid, pa.int64()), pa.array(chunk.doc_id, pa.int64()), pa.array(chunk.held_out), *map(pa.array, sums)],
-                names=[f.split()[0] for f in PARTS.split(", ")],
-            )
+    def run(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        chunk, answers = read_chunk(rows)
+        levels, counted, p = known_levels(chunk, answers, model, order)
+        n = counted[0][0]
+        real = chunk.is_scored()
+        word = levels[0].at
+        below = model.total + ADDED * (model.distinct + 1)
+        columns = [real, real & (n > 0)[word]]
+        with np.errstate(divide="ignore"):  # 'nothing before' has no probability and no token
+            columns += [
+                np.where(real, np.log10((n + ADDED) / below)[word], 0.0),
+                np.where(real, np.log10(p[-1])[levels[-1].at], 0.0),
+            ]
+        sums = [np.add.reduceat(c, chunk.first, dtype=t) for c, t in zip(columns, (np.int64, np.int64, np.float64, np.float64))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunk.uid, pa.int64()), pa.array(chunk.doc_id, pa.int64()), pa.array(chunk.held_out), *map(pa.array, sums)],
+            names=[f.split()[0] for f in PARTS.split(", ")],
+        )
+
+    return run
+
+
+def met(kernel: Callable) -> Callable:
+    """A kernel over the rows of one chunk as a function of its program and its answers."""
+
+    def run(program: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(kernel([*program.to_pylist(), *answers.to_pylist()])))
 
     return run
 
@@ -447,20 +475,25 @@ def katz(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: str = "d
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // bucket_bytes).bit_length())
     parts = max(1, 1 << bits)
-    scanned = stash(texts.mapInArrow(scan(order, bits, chunk), ROW))
-    program = scanned.where(f"kind = {PROGRAM}")
+    # Bucketed by chunk, so that answers come to the programs and programs are never shuffled.
+    held = f"pairgate_{uuid.uuid4().hex}"
+    written = texts.mapInArrow(scan(order, chunk), ROW).select("chunk", *PROGRAM_COLUMNS).write
+    at_once = min(MOST_CHUNK_BUCKETS, 1 + size // (chunk * BYTES_OF_TOKEN))
+    written.bucketBy(at_once, "chunk").option("path", f"{shared_dir(docs.sparkSession)}/{held}").saveAsTable(held)
+    program = docs.sparkSession.table(held)
 
     def in_buckets(rows: DataFrame, kernel: Callable) -> DataFrame:
         placed = rows.repartition(parts * order, "level", "bucket").sortWithinPartitions("level", "bucket", "chunk")
         return stash(placed.mapInArrow(kernel, ROW))
 
     def in_chunks(answers: list[DataFrame], kernel: Callable, schema: str) -> DataFrame:
-        rows = program
-        for found in answers:
-            rows = rows.unionByName(found.where(f"kind <> {TABLE}"))
-        return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(kernel, schema)
+        rows = answers[0]
+        for found in answers[1:]:
+            rows = rows.unionByName(found)
+        rows = rows.where(f"kind <> {TABLE}").select("chunk", *ANSWER)
+        return program.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(met(kernel), schema)
 
-    counted = in_buckets(scanned.where(f"kind = {ASKED}"), count)
+    counted = in_buckets(program.mapInArrow(ask(order, bits), ROW), count)
     tables = counted.where(f"kind = {TABLE}")
     of = {
         r["level"]: r
