@@ -15,7 +15,9 @@ from pairgate.operators import bilinear as B
 from pairgate.operators import linear as L
 from pairgate.operators import metrics as M
 from pairgate.operators import resampling as R
+from pairgate.operators import wide as W
 from pairgate.operators.sampling import assign_folds
+from pairgate.operators.statistics import TrimmedMean
 
 _LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -207,3 +209,46 @@ def paired_delta_identical(spark, sf_dir):
     docs = labelled_documents(spark, sf_dir).withColumn("other", F.col("score"))
     return rounded(R.paired_delta(docs, "auroc", "score", "other", n_boot=200, seed=0))
 
+
+
+@query(
+    "given_statistic_point",
+    f"""WITH {SL},
+r AS (SELECT lang, s, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY s, doc_id) - 1 AS i, COUNT(*) OVER (PARTITION BY lang) AS n FROM sl WHERE y IS NOT NULL)
+SELECT lang, ROUND(SUM(s * GREATEST(0, LEAST(i + 1, 0.9::DOUBLE * n) - GREATEST(i, 0.1::DOUBLE * n))) / (0.8::DOUBLE * MAX(n)), 4) AS point FROM r GROUP BY lang""",
+)
+def given_statistic_point(spark, sf_dir):
+    """The trimmed mean of text lengths as a caller's statistic of the bootstrap, at the rows themselves."""
+    found = R.bootstrap_ci(labelled_documents(spark, sf_dir), TrimmedMean(0.1, 0.9), ["lang"], n_boot=50, seed=0)
+    return rounded(found.select("lang", "point"), 4)
+
+
+@query(
+    "wide_held_out_gradient",
+    """WITH p AS (SELECT a.label % 4 AS fold FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT fold::INT AS fold, COUNT(*) AS n_held_out, (SELECT COUNT(*) FROM p) - COUNT(*) AS n_trained, 129::INT AS n_weights, 0.0::DOUBLE AS gradient FROM p GROUP BY fold""",
+)
+def wide_held_out_gradient(spark, sf_dir):
+    """Each fold's model on both embeddings (128 features) is the optimum of the other folds: the
+    greatest penalised gradient, weight by weight, is zero."""
+    pairs = _pairs(spark, sf_dir)
+    rows = W.design_rows(pairs, V.concat_pair("u", "v"), "label", "fold").persist()
+    folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
+    out = None
+    for fit in W.fit_many(rows, folds, l2=1.0):
+        bias, weights = fit.raw()
+        scaled = F.zip_with(
+            F.zip_with("x", F.lit(fit.mean.tolist()), lambda a, b: a - b), F.lit(fit.std.tolist()), lambda a, b: a / b
+        )
+        score = F.aggregate(F.zip_with("x", F.lit(weights.tolist()), lambda a, b: a * b), F.lit(bias), lambda t, v: t + v)
+        trained = rows.where(F.col("fold") != fit.held_out).select((1 / (1 + F.exp(-score)) - F.col("y")).alias("r"), scaled.alias("z"))
+        sides = trained.select("r", F.posexplode(F.concat(F.array(F.lit(1.0)), "z")).alias("k", "z"))
+        ridge = F.get(F.lit([0.0, *fit.coef.tolist()]), F.col("k"))
+        by_weight = sides.groupBy("k").agg(F.sum(F.col("r") * F.col("z")).alias("g"), F.count("*").alias("n_trained"))
+        row = by_weight.agg(
+            F.max("n_trained").alias("n_trained"), F.count("*").cast("int").alias("n_weights"), F.max(F.abs(F.col("g") + ridge)).alias("gradient")
+        )
+        row = row.select(F.lit(int(fit.held_out)).alias("fold"), "*")
+        out = row if out is None else out.unionByName(row)
+    held = rows.groupBy(F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("n_held_out"))
+    return rounded(out.join(held, "fold").select("fold", "n_held_out", "n_trained", "n_weights", "gradient"), 3)

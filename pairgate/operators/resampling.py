@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pairgate.functions.numeric import at_least, is_finite
 from pairgate.operators.metrics import auroc, average_precision
 from pairgate.operators.ordered import place, plan_cuts
+from pairgate.operators.statistics import Statistic
+from pairgate.session import cut_lineage
 
 REPLICATES_PER_TASK = 50
 ROWS_PER_BLOCK = 50_000
@@ -200,8 +202,70 @@ def _arm_statistic(weighted: DataFrame, keys: Sequence[str], arm: int, name: str
     return sums.select(*keys, "chunk", "rep", value.alias(f"v{arm}"))
 
 
+def _given_statistic(
+    weighted: DataFrame, keys: Sequence[str], arm: int, statistic: Statistic, rows_per_bucket: int
+) -> DataFrame:
+    """(keys, chunk, rep, value): a caller's statistic of one score column for every replicate."""
+    s = f"s{arm}"
+    rows = weighted.select(*keys, "chunk", "y", s, "w")
+    cuts = plan_cuts(rows.where("chunk = -1"), s, None, rows_per_bucket)
+    placed = place(rows, s, None, cuts).drop("__tie_bucket")
+    group, bucket = [*keys, "chunk"], [*keys, "chunk", "__order_bucket"]
+    ddl = _key_ddl(weighted, keys)
+    drawn = placed.select(*bucket, "y", F.posexplode("w").alias("rep", "k"))
+    sums = drawn.groupBy(*bucket, "rep").agg(
+        *[F.sum(F.when(F.col("y") == y, F.col("k")).otherwise(0)).cast("double").alias(f"w{y}") for y in (0, 1)]
+    )
+    order = Window.partitionBy(*group, "rep").orderBy("__order_bucket")
+    earlier, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group, "rep")
+    # Renamed to themselves: both sides of the cogroup come from ``placed``.
+    known = sums.select(
+        *[F.col(c).alias(c) for c in bucket],
+        "rep",
+        *[F.coalesce(F.sum(f"w{y}").over(earlier), F.lit(0.0)).alias(f"b{y}") for y in (0, 1)],
+        *[F.sum(f"w{y}").over(everything).alias(f"t{y}") for y in (0, 1)],
+    )
+    states = [f"z{k}" for k in range(statistic.size)]
+
+    def run(u: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        u, o = u.sort_values(s), o.sort_values("rep")
+        weight = np.stack(u["w"].to_numpy()).astype(float)
+        found = statistic.update(
+            u[s].to_numpy(), u["y"].to_numpy(), weight, o[["b0", "b1"]].to_numpy(), o[["t0", "t1"]].to_numpy()
+        )
+        out = o[["rep", "t0", "t1"]].assign(**{z: found[:, k] for k, z in enumerate(states)})
+        for x in group:
+            out[x] = u[x].iloc[0]
+        return out[[*group, "rep", "t0", "t1", *states]]
+
+    numbers = "".join(f", {c} double" for c in ("t0", "t1", *states))
+    parts = placed.groupBy(*bucket).cogroup(known.groupBy(*bucket)).applyInPandas(run, f"{ddl}chunk int, rep int{numbers}")
+    how = {"sum": F.sum, "min": F.min, "max": F.max}
+    merged = parts.groupBy(*group, "rep", "t0", "t1").agg(*[how[m](z).alias(z) for m, z in zip(statistic.merge, states, strict=True)])
+
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            value = statistic.finish(batch[states].to_numpy(), batch[["t0", "t1"]].to_numpy())
+            yield batch[[*group, "rep"]].assign(value=value)
+
+    values = merged.mapInPandas(finished, f"{ddl}chunk int, rep int, value double")
+    return values.select(*group, "rep", F.when(~F.isnan("value"), F.col("value")).alias(f"v{arm}"))
+
+
+def _given(rows: DataFrame, keys: Sequence[str], statistic: Statistic, arms: int, n_boot: int, seed: int, rows_per_bucket: int) -> DataFrame:
+    """(keys, point, v) of a caller's statistic: the replicates and, as chunk -1, the rows themselves."""
+    weighted = cut_lineage(_weights(rows, keys, arms, n_boot, seed))
+    values = _given_statistic(weighted, keys, 0, statistic, rows_per_bucket)
+    for arm in range(1, arms):
+        values = values.join(_given_statistic(weighted, keys, arm, statistic, rows_per_bucket), [*keys, "chunk", "rep"])
+    delta = F.col("v0") - F.col("v1") if arms == 2 else F.col("v0")
+    return values.groupBy(*keys).agg(
+        F.max(F.when(F.col("chunk") == -1, delta)).alias("point"), F.collect_list(F.when(F.col("chunk") >= 0, delta)).alias("v")
+    )
+
+
 def _distributed(rows: DataFrame, keys: Sequence[str], name: str, arms: int, n_boot: int, seed: int, rows_per_bucket: int) -> DataFrame:
-    weighted = _weights(rows, keys, arms, n_boot, seed).persist()
+    weighted = cut_lineage(_weights(rows, keys, arms, n_boot, seed))
     values = _arm_statistic(weighted, keys, 0, name, rows_per_bucket)
     for arm in range(1, arms):
         values = values.join(_arm_statistic(weighted, keys, arm, name, rows_per_bucket), [*keys, "chunk", "rep"])
@@ -238,12 +302,15 @@ def _interval(found: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
 
 
 def _bootstrap(df, keys, scores, label, ordinal, name, threshold, n_boot, seed, alpha, rows_per_bucket):
-    check_statistic(name, threshold)
+    if isinstance(name, str):
+        check_statistic(name, threshold)
     if not keys:
         whole = df.withColumn("__all", F.lit(0))
         found = _bootstrap(whole, ["__all"], scores, label, ordinal, name, threshold, n_boot, seed, alpha, rows_per_bucket)
         return found.drop("__all")
-    if name in RANKING:
+    if not isinstance(name, str):
+        draws = _given(_rows(df, keys, scores, label, ordinal, None), keys, name, len(scores), n_boot, seed, rows_per_bucket)
+    elif name in RANKING:
         rows = _rows(df, keys, scores, label, ordinal, None)
         draws = _distributed(rows, keys, name, len(scores), n_boot, seed, rows_per_bucket)
     else:
@@ -291,7 +358,7 @@ def _paired_rates(flags: DataFrame, keys: Sequence[str], name: str, n_boot: int,
 
 def bootstrap_ci(
     df: DataFrame,
-    name: str,
+    name: str | Statistic,
     keys: Sequence[str] = (),
     score: str = "score",
     label: str = "label",
@@ -303,13 +370,17 @@ def bootstrap_ci(
     alpha: float = 0.05,
     rows_per_bucket: int = ROWS_PER_ARM_BUCKET,
 ) -> DataFrame:
-    """(keys, point, ci_low, ci_high) of a statistic; NULL where it is undefined."""
+    """(keys, point, ci_low, ci_high) of a statistic; NULL where it is undefined.
+
+    ``name`` is one of the built-in names or a ``statistics.Statistic`` of the caller, which sees the
+    rows with a label and a finite score.
+    """
     return _bootstrap(df, keys, [score], label, ordinal, name, threshold, n_boot, seed, alpha, rows_per_bucket)
 
 
 def paired_delta(
     df: DataFrame,
-    name: str,
+    name: str | Statistic,
     score_a: str,
     score_b: str,
     keys: Sequence[str] = (),

@@ -12,7 +12,7 @@ from pairgate.functions import text as X
 from pairgate.functions import vectors as V
 from pairgate.functions.numeric import all_finite, missing_flag, strict_double
 from pairgate.functions.sequence import pair_features
-from pairgate.operators import bilinear, linear, resampling, sampling, similarity
+from pairgate.operators import bilinear, linear, resampling, sampling, similarity, wide
 from pairgate.operators import metrics as M
 from pairgate.operators import relational as R
 from pairgate.operators.linear import LinearGate
@@ -239,14 +239,18 @@ def orthogonal_report(
     return frozen_gate_report(rows.withColumn("score", gate.logit()), gate.threshold, n_boot=n_boot, seed=seed)
 
 
-def layout_columns(layout: str, d: int) -> list[Column]:
-    """Named feature columns of a layout over arrays u and v: concat is 2d wide, hadamard d."""
+def layout_array(layout: str) -> Column:
+    """Feature array of a layout over embeddings u and v: concat is 2d long, hadamard d."""
     if layout == "concat":
-        x = V.concat_pair("u", "v")
-    elif layout == "hadamard":
-        x = V.hadamard("u", "v")
-    else:
-        raise ValueError(f"unknown layout: {layout!r}")
+        return V.concat_pair("u", "v")
+    if layout == "hadamard":
+        return V.hadamard("u", "v")
+    raise ValueError(f"unknown layout: {layout!r}")
+
+
+def layout_columns(layout: str, d: int) -> list[Column]:
+    """``layout_array`` as named columns, for a few dimensions."""
+    x = layout_array(layout)
     width = 2 * d if layout == "concat" else d
     return [F.get(x, F.lit(i)).alias(f"f{i}") for i in range(width)]
 
@@ -262,18 +266,15 @@ def sequence_ladder(
     flat = F.regexp_replace("antigen_seq", ":", "")
     base = pairs.persist()
     keep = ["label", "fold", "ordinal"]
-    ladders: dict[str, tuple[DataFrame, Sequence[str]]] = {
-        "rung0": (base.select(*keep, *pair_features("binder_seq", flat)), C.SEQUENCE_FEATURES),
-        "rung1": (base.select(*keep, *layout_columns("concat", d)), [f"f{i}" for i in range(2 * d)]),
-        "rung2": (base.select(*keep, *layout_columns("hadamard", d)), [f"f{i}" for i in range(d)]),
-    }
+    composition = base.select(*keep, *pair_features("binder_seq", flat))
+    rungs = {"rung0": linear.out_of_fold(composition, list(C.SEQUENCE_FEATURES), "label", "fold", l2=l2)}
+    for name, layout in (("rung1", "concat"), ("rung2", "hadamard")):
+        rungs[name] = wide.out_of_fold(base, layout_array(layout), "label", "fold", l2=l2)
     report = {}
-    for name, (rows, names) in ladders.items():
-        scored = linear.out_of_fold(rows, list(names), "label", "fold", l2=l2)
+    for name, scored in rungs.items():
         report[name] = _own_threshold_summary(scored.select(*keep, "oof").persist(), "oof", target_precision)
     oof = bilinear.out_of_fold(base, "u", "v", "label", "fold", d, training).select(*keep, "oof").persist()
     report["rung3"] = _own_threshold_summary(oof, "oof", target_precision)
     if (report["rung3"]["auroc"] or 0.0) >= (report["rung2"]["auroc"] or 0.0):
         return report, bilinear.freeze(base, "u", "v", "label", d, training, target_precision=target_precision)
-    rows, names = ladders["rung2"]
-    return report, linear.freeze(rows, list(names), "label", l2=l2, target_precision=target_precision)
+    return report, wide.freeze(base, layout_array("hadamard"), "label", l2=l2, target_precision=target_precision)
