@@ -44,7 +44,7 @@ from pairgate.llm.common import FOLD, raw_texts, shared_dir, small_text_batches,
 #: Words in an n-gram.
 ORDER = 2
 #: Tokens of a chunk, and text bytes that a bucket is planned for.
-CHUNK, BUCKET_BYTES = 3_000_000, 16 << 20
+CHUNK, BUCKET_BYTES = 2_000_000, 16 << 20
 #: Counts up to this one are discounted by Good-Turing.
 MOST_DISCOUNTED = 7
 #: Fixed values of the base score.
