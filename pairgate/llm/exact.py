@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairgate.llm.common import WHITE, raw_texts, small_text_batches, stash
@@ -145,43 +145,31 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row is named by its id; only rows whose id is null or repeated are told apart by their text.
     """
     decided = stash(exact_dedup(docs, id_col, text_col))
-    bare = F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITE.decode(), "")
+    bare = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WHITE.decode(), "")
     return rows_that_stay(docs, decided, F.sha2(bare, 256), id_col, text_col)
 
 
 def rows_that_stay(docs: DataFrame, decided: DataFrame, sha: Column, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` kept by ``decided`` (doc_id, text_sha256, kept), whose digest is ``sha``
-    of a row.  Of kept rows with one id and digest the one with the longest text stays."""
+    of a row.  Of kept rows with one id and digest the one with the longest text stays.
+
+    A row travels as one struct, so that none of its columns can clash with those used here."""
     unclear = stash(
-        decided.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id")
-    )
-    gone = decided.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").union(unclear).distinct()
-    gone = stash(gone.select(F.col("doc_id").alias("__gone")))
-    plain = docs.where(F.col(id_col).isNotNull()).join(
-        gone, F.col(id_col) == F.col("__gone"), "left_anti"
+        decided.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id"))
     )
+    gone = decided.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).union(unclear).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.struct("*").alias("row"))
+    plain = rows.where("doc IS NOT NULL").join(stash(gone), F.col("doc") == F.col("id"), "left_anti").select("row.*")
     if unclear.isEmpty():
         return plain
     stays = (
         decided.where("kept")
-        .join(unclear.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+        .join(unclear, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        .select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
         .distinct()
     )
-    told = docs.join(
-        unclear.select(F.col("doc_id").alias("__id")), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi"
-    ).withColumn("__text", sha)
-    told = (
-        told.join(
-            stays,
-            F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha")),
-            "left_semi",
-        )
-        .withColumn("__chars", F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
-        .withColumn(
-            "__nth",
-            F.row_number().over(Window.partitionBy(id_col, "__text").orderBy(F.desc("__chars"))),
-        )
-        .where("__nth = 1")
-    )
-    return plain.unionByName(told.drop("__text", "__chars", "__nth"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    told = docs.select(F.col(id_col).cast("long").alias("doc"), sha.alias("sha"), text.alias("words"), F.struct("*").alias("row"))
+    told = told.join(stays, F.col("doc").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("digest")), "left_semi")
+    best = F.max_by("row", F.struct(F.char_length("words"), "words"))
+    return plain.unionByName(told.groupBy("doc", "sha").agg(best.alias("row")).select("row.*"))

@@ -235,3 +235,16 @@ def test_drop_near_compares_rows_with_null_or_repeated_ids(docs_of):
     assert len(got & {(None, 0), (None, 1)}) == 1  # either of the two is the first
     assert len(got & {(8, 4), (8, 5)}) == 1
     assert simhash.drop_near(docs_of(["a"]).limit(0)).count() == 0
+
+
+def test_rows_with_columns_named_like_helpers(spark):
+    names = ["doc_id", "text", "id", "doc", "row", "sha", "words", "digest", "__gone", "__id", "kept", "n", "root", "node"]
+    rows = [(i, t, *["c"] * 12) for i, t in ((1, "a b c"), (2, "ab c"), (2, "other"), (None, "a bc"), (None, "other text"), (3, None), (4, ""))]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    for drop in (exact.drop_exact, simhash.drop_near):
+        left = drop(docs)
+        assert left.columns == names
+        got = {(r.doc_id, r.text) for r in left.collect()}
+        assert (2, "other") in got and (None, "other text") in got
+        assert ((3, None) in got) != ((4, "") in got)
+    assert {r.doc_id for r in exact.drop_exact(docs).where("text LIKE '%a%b%c%'").collect()} == {1}
