@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairgate import scoring
 from pairgate.catalogue import query, rounded, table
 from pairgate.functions import vectors as V
 from pairgate.functions.sequence import pair_features
+from pairgate.operators.pooling import pool_windows
 
 
 def _frac(s: str, letters: str) -> str:
@@ -37,9 +39,14 @@ def composition_features(spark, sf_dir):
     """SELECT conv_id, turn, length(string_split(text, ' ')[1])::DOUBLE AS value, len(string_split(text, ' '))::INT AS chain_count FROM conversations""",
 )
 def first_chain_length(spark, sf_dir):
-    chains = F.split("text", " ")
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.length(F.get(chains, F.lit(0))).cast("double").alias("value"), F.size(chains).alias("chain_count")
+    turns = table(spark, sf_dir, "conversations")
+    examples = turns.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.split("text", " ").alias("binder_chains"))
+    name = F.split("example_id", ":")
+    return scoring.length(examples).select(
+        name[0].cast("long").alias("conv_id"),
+        name[1].cast("long").alias("turn"),
+        "value",
+        F.col("notes")["binder_chain_count"].cast("int").alias("chain_count"),
     )
 
 
@@ -77,11 +84,9 @@ def hadamard_dot(spark, sf_dir):
 SELECT label, dim::INT AS dim, ROUND(SUM(x * w) / SUM(w), 6) AS value FROM w GROUP BY ALL""",
 )
 def weighted_mean_pooling(spark, sf_dir):
-    weighted = table(spark, sf_dir, "embeddings").select(
-        "label", (F.col("vec_id") % 5 + 1).alias("w"), F.posexplode(V.as_doubles("embedding")).alias("dim", "x")
-    )
-    pooled = weighted.groupBy("label", "dim").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("value"))
-    return rounded(pooled)
+    windows = table(spark, sf_dir, "embeddings").select("label", "embedding", (F.col("vec_id") % 5 + 1).alias("length"))
+    pooled = pool_windows(windows, ["label"])
+    return rounded(pooled.select("label", F.posexplode("embedding").alias("dim", "value")))
 
 
 _GATE = (["l_quantity", "l_extendedprice", "l_discount"], [25.0, 38000.0, 0.05], [14.0, 23000.0, 0.03], -0.25, [0.8, -0.4, 0.6])

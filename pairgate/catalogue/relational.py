@@ -9,6 +9,8 @@ from pairgate.functions.numeric import missing_flag, to_double, to_int_or_zero
 from pairgate.operators import metrics as M
 from pairgate.operators import relational as R
 from pairgate.operators.ordered import dense_index
+from pairgate.plans.analysis import confidence_columns
+from pairgate.sources.sinks import distinct_chain_sequences, uncached
 
 
 @query(
@@ -41,8 +43,8 @@ def first_seen_values(spark, sf_dir):
 )
 def distinct_union(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    both = part.select(F.col("p_name").alias("s")).unionByName(part.select(F.col("p_type").alias("s")))
-    return both.select(F.explode(F.split("s", " ")).alias("seq")).distinct()
+    pairs = part.select(F.col("p_type").alias("binder_seq"), F.replace("p_name", F.lit(" "), F.lit(":")).alias("antigen_seq"))
+    return distinct_chain_sequences(pairs).select(F.col("sequence").alias("seq"))
 
 
 @query(
@@ -88,13 +90,29 @@ def score_join(spark, sf_dir):
     return joined.drop("ordinal")
 
 
+@query(
+    "value_as_score",
+    """SELECT event_id::VARCHAR AS example_id, event_type AS label, value AS iptm, (props->>'k')::DOUBLE AS ptm FROM events""",
+)
+def value_as_score(spark, sf_dir):
+    """Score rows whose value is the interface score and whose extras are the other metrics."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("example_id"),
+        F.col("event_type").alias("label"),
+        F.col("event_id").alias("ordinal"),
+        "value",
+        F.from_json(F.replace("props", F.lit('"k"'), F.lit('"ptm"')), "ptm double").alias("extras"),
+    )
+    return confidence_columns(rows, ("iptm", "ptm")).drop("ordinal")
+
+
 @query(
     "semi_join",
     "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
 )
 def semi_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return R.members_of(docs, table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query(
@@ -103,7 +121,8 @@ def semi_join(spark, sf_dir):
 )
 def anti_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return uncached(docs.withColumnRenamed("doc_id", "id"), done).withColumnRenamed("id", "doc_id")
 
 
 @query(
@@ -113,7 +132,7 @@ def anti_join(spark, sf_dir):
 def leakage_keys(spark, sf_dir):
     train = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"))
     evals = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"))
-    return evals.join(train, "nationkey", "left_semi").distinct()
+    return R.shared_keys(evals, train, ["nationkey"])
 
 
 @query(
@@ -129,18 +148,14 @@ def double_dim_join(spark, sf_dir):
 def _line_nations(spark, sf_dir):
     """Line items with the nations of both sides: the nation table joined twice."""
     nation = table(spark, sf_dir, "nation")
-    named = lambda key, out: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(out))
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    return (
-        lines.join(orders, "l_orderkey")
-        .join(customer, "o_custkey")
-        .join(named("c_nationkey", "customer_nation"), "c_nationkey")
-        .join(supplier, "l_suppkey")
-        .join(named("s_nationkey", "supplier_nation"), "s_nationkey")
-        .select("l_orderkey", "l_linenumber", "customer_nation", "supplier_nation", "l_extendedprice")
+    sides = {"c_nationkey": {"n_name": "customer_nation"}, "s_nationkey": {"n_name": "supplier_nation"}}
+    keyed = lines.join(orders, "l_orderkey").join(customer, "o_custkey").join(supplier, "l_suppkey")
+    return R.two_sided_lookup(keyed, nation, "n_nationkey", sides).select(
+        "l_orderkey", "l_linenumber", "customer_nation", "supplier_nation", "l_extendedprice"
     )
 
 

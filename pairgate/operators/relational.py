@@ -53,10 +53,33 @@ def strict_lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], what: str)
     return marked.where(found).drop("__hit")
 
 
+def members_of(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys occur in ``other``."""
+    return df.join(other.select(*keys), list(keys), "left_semi")
+
+
+def absent_from(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys do not occur in ``other``."""
+    return df.join(other.select(*keys), list(keys), "left_anti")
+
+
+def shared_keys(eval_rows: DataFrame, train_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct evaluation keys that training has too."""
+    return members_of(eval_rows, train_rows, keys).select(*keys).distinct()
+
+
+def two_sided_lookup(df: DataFrame, dim: DataFrame, key: str, sides: dict[str, dict[str, str]]) -> DataFrame:
+    """Look both ends of a pair up in one table: ``sides`` maps a column of ``df`` to the columns of
+    ``dim`` it fetches and their new names.  Rows without a match on a side are dropped."""
+    for column, fetched in sides.items():
+        side = dim.select(F.col(key).alias(column), *[F.col(c).alias(n) for c, n in fetched.items()])
+        df = df.join(side, column)
+    return df
+
+
 def leakage_guard(eval_rows: DataFrame, train_rows: DataFrame, keys: Sequence[str]) -> None:
     """Raise when any evaluation key is present among the training keys."""
-    shared = eval_rows.join(train_rows.select(*keys), list(keys), "left_semi").select(*keys)
-    found = shared.distinct().limit(5).collect()
+    found = shared_keys(eval_rows, train_rows, keys).limit(5).collect()
     if found:
         raise LeakageError(f"evaluation rows present in training, e.g. {[tuple(r) for r in found]}")
 

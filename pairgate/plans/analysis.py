@@ -159,6 +159,16 @@ def structural_columns(scores: DataFrame) -> DataFrame:
     ).drop("__close")
 
 
+def value_or_extra(key: str, value_key: str = "iptm") -> Column:
+    """A metric of a score row: ``value`` holds one of them, the extras the others; NaN is undefined."""
+    return nan_to_null("value") if key == value_key else nan_to_null(f"extras.{key}")
+
+
+def confidence_columns(scores: DataFrame, metrics: Sequence[str] = C.CONFIDENCE_METRICS) -> DataFrame:
+    """Wide confidence metrics of a score table whose ``value`` is the interface score."""
+    return scores.select("example_id", "label", "ordinal", *[value_or_extra(m).alias(m) for m in metrics])
+
+
 def champloo_structural_rows(structural: DataFrame, cells: DataFrame) -> DataFrame:
     """Structural rows with their matrix score; missing predictions and unknown pairs are dropped."""
     keyed = structural.where(F.coalesce("missing", F.lit("")) != "prediction").withColumn("__p", pair_parts("example_id"))

@@ -185,7 +185,7 @@ def champloo_features(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     from pairgate.functions.sequence import pair_features
 
     first = R.first_wins(sequences.select("pdb_id", "vhh_sequence", "antigen_sequence", "ordinal"), ["pdb_id"], "ordinal")
-    vhh = first.select(F.col("pdb_id").alias("vhh_pdb"), X.normalize_binder("vhh_sequence").alias("b"))
-    antigen = first.select(F.col("pdb_id").alias("antigen_pdb"), X.normalize_antigen("antigen_sequence").alias("t"))
-    joined = pairs.join(vhh, "vhh_pdb").join(antigen, "antigen_pdb").where((F.col("b") != "") & (F.col("t") != ""))
+    known = first.select("pdb_id", X.normalize_binder("vhh_sequence").alias("b"), X.normalize_antigen("antigen_sequence").alias("t"))
+    both = R.two_sided_lookup(pairs, known, "pdb_id", {"vhh_pdb": {"b": "b"}, "antigen_pdb": {"t": "t"}})
+    joined = both.where((F.col("b") != "") & (F.col("t") != ""))
     return joined.select("pair_id", "vhh_pdb", "antigen_pdb", "label", "iptm", *pair_features("b", "t"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairgate import constants as C
 from pairgate.functions import text as X
 from pairgate.functions.numeric import is_finite, to_double
-from pairgate.operators.relational import strict_lookup
+from pairgate.operators.relational import first_wins, strict_lookup
 from pairgate.operators.similarity import greedy_dedup
 from pairgate.schemas import EXAMPLE
 from pairgate.sources.registry import LOADERS
@@ -307,6 +307,19 @@ def examples_from_archive(manifest: DataFrame, source: str) -> DataFrame:
     )
 
 
+def examples_by_id(candidates: DataFrame, ids: DataFrame) -> DataFrame:
+    """The examples of listed ids (id), each from the first summary row that passes the structural
+    filters and makes that id, whether or not a similar chain came earlier; an id without one raises.
+
+    ``candidates`` are those of ``structure_candidates``, before any are dropped as similar.
+    """
+    code = F.concat_ws("-", F.lit("sabdab"), "code", "Hchain", F.get("target_ids", F.lit(0)))
+    wanted = ids.select(F.col("id").alias("__wanted")).distinct()
+    listed = candidates.join(wanted, code == F.col("__wanted"), "left_semi")
+    first = first_wins(listed.withColumn("__id", code), ["__id"], "ordinal").drop("__id")
+    return select_by_id(assemble_examples(first), ids)
+
+
 def select_by_id(examples: DataFrame, ids: DataFrame) -> DataFrame:
     """The examples of a list of ids; an id without an example raises."""
     return strict_lookup(ids.select("id").distinct(), examples, ["id"], "example")

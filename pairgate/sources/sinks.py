@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pairgate import constants as C
 from pairgate.functions import text as X
+from pairgate.operators.relational import absent_from
 
 
 def extras_json(extras: Column, notes: Column) -> Column:
@@ -86,7 +87,7 @@ def _clean_chains() -> Column:
 
 def uncached(examples: DataFrame, done: DataFrame) -> DataFrame:
     """Examples without a finished result (id)."""
-    return examples.join(done.select("id"), "id", "left_anti")
+    return absent_from(examples, done, ["id"])
 
 
 def multimer_inputs(examples: DataFrame, staged_root: str, output_root: str) -> DataFrame:
