@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from pairgate import scoring
 from pairgate.catalogue import query, rounded, table
 from pairgate.functions import vectors as V
 from pairgate.functions.sequence import pair_features
+from pairgate.operators.linear import LinearGate
+from pairgate.operators.ml import GateModel
 from pairgate.operators.pooling import pool_windows
 
 
@@ -92,13 +97,25 @@ def weighted_mean_pooling(spark, sf_dir):
 _GATE = (["l_quantity", "l_extendedprice", "l_discount"], [25.0, 38000.0, 0.05], [14.0, 23000.0, 0.03], -0.25, [0.8, -0.4, 0.6])
 
 
-@query(
-    "frozen_linear_apply",
-    """SELECT l_orderkey, l_linenumber, ROUND(z, 6) AS logit, (z >= 0.3)::BOOLEAN AS called FROM (SELECT *,
-  -0.25::DOUBLE + (l_quantity - 25) / 14 * 0.8::DOUBLE + (l_extendedprice - 38000) / 23000 * (-0.4)::DOUBLE + (l_discount - 0.05::DOUBLE) / 0.03::DOUBLE * 0.6::DOUBLE AS z FROM lineitem)""",
-)
+_GATE_SQL = """SELECT l_orderkey, l_linenumber, ROUND(z, 6) AS logit, (z >= 0.3)::BOOLEAN AS called FROM (SELECT *,
+  -0.25::DOUBLE + (l_quantity - 25) / 14 * 0.8::DOUBLE + (l_extendedprice - 38000) / 23000 * (-0.4)::DOUBLE + (l_discount - 0.05::DOUBLE) / 0.03::DOUBLE * 0.6::DOUBLE AS z FROM lineitem)"""
+
+
+@query("frozen_linear_apply", _GATE_SQL)
 def frozen_linear_apply(spark, sf_dir):
     logit = V.linear_logit(*_GATE)
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.round(logit, 6) + 0.0).alias("logit"), (logit >= 0.3).alias("called")
     )
+
+
+@query("saved_gate_apply", _GATE_SQL)
+def saved_gate_apply(spark, sf_dir):
+    """The same gate as a stage of a saved and loaded pipeline."""
+    gate = LinearGate(*[list(v) if isinstance(v, list) else v for v in _GATE], threshold=0.3, target_precision=0.9)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/pairgate-gate-{uuid.uuid4().hex}"
+    PipelineModel(stages=[GateModel.of(gate)]).write().save(path)
+    scored = PipelineModel.load(path).transform(table(spark, sf_dir, "lineitem"))
+    return scored.select(
+        "l_orderkey", "l_linenumber", (F.round("logit", 6) + 0.0).alias("logit"), (F.col("prediction") == 1.0).alias("called")
+    )
