@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,7 +30,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder must be one that the driver and all executors share, so there is no default: a
     session without it is refused.  With ``spark.cleaner.referenceTracking.cleanCheckpoints``
-    (set by ``get_spark``) files go once their DataFrame is no longer used.
+    (set by ``get_spark``) files go once their DataFrame is no longer used.  Rows are kept while they
+    are written, since a checkpoint is a count and then a write and would compute them twice.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -37,4 +39,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:  # the caller keeps them
+        return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
