@@ -155,7 +155,8 @@ def _gradient_pass(rows: DataFrame, models: dict, d: int, n_parts: int) -> dict[
                 ga, gg, gb = _gradient_sums(z[:, :d], z[:, d:], y[keep], a, g, b)
                 v = np.concatenate([ga.ravel(), gg.ravel(), [gb]])
                 totals[k] = totals[k] + v if k in totals else v
-        yield pd.DataFrame({"k": list(totals), "v": list(totals.values())})
+        if totals:  # a partition may be empty, and Arrow converts no empty column of arrays
+            yield pd.DataFrame({"k": list(totals), "v": list(totals.values())})
 
     return add_arrays(rows.mapInPandas(run, "k int, v array<double>"), n_parts)
 

@@ -46,6 +46,23 @@ def test_full_fit_and_out_of_fold(spark):
         assert oof[~tr] == pytest.approx(b[0] + ((x[~tr] - m) / s) @ b[1:], abs=1e-6)
 
 
+def test_fits_over_many_partitions(spark):
+    """The sums of one model leave slots empty, and partitions may hold no rows."""
+    _, _, df = data(spark)
+    want = L.fit_full(df.coalesce(1), ["a", "b", "c"], "y", l2=1.0)
+    far = spark.range(0, 20, 1, 20).select("id", *[F.lit(None).cast(t).alias(c) for c, t in df.dtypes[1:]]).toDF(*df.columns)
+    spread = df.repartition(20).unionByName(far)
+    fit = L.fit_full(spread, ["a", "b", "c"], "y", l2=1.0)
+    assert [fit.intercept, *fit.coef] == pytest.approx([want.intercept, *want.coef], abs=1e-9)
+    t = B.Training(rank=1, l2=0.01, lr=0.5, n_iter=3, seed=1)
+    sides = lambda d: d.select("i", F.array("a", "b").alias("u"), F.array("b", "c").alias("v"), "y", "fold")
+    scores = [
+        [r["oof"] for r in B.out_of_fold(sides(d), "u", "v", "y", "fold", 2, t).where("y IS NOT NULL").orderBy("i").collect()]
+        for d in (df.coalesce(1), spread)
+    ]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9)
+
+
 def test_undefined_rows_and_single_class(spark):
     rows = [(0, 1.0, 1, 0), (1, 2.0, 1, 0), (2, 0.0, 0, 1), (3, None, 1, 1), (4, 0.5, 0, 1)]
     df = spark.createDataFrame(rows, "i long, a double, y int, fold int")
