@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairgate.catalogue import models
 from pairgate.operators import bilinear as B
 from pairgate.operators import linear as L
 from pairgate.operators import metrics as M
@@ -225,3 +226,14 @@ def test_paired_delta(spark):
     rate = R.paired_delta(df, "precision", "a", "b", threshold=0.5, n_boot=100).first()
     fn = plain_statistic("precision", 0.5)
     assert rate["point"] == pytest.approx(fn(a, y) - fn(b, y)) and rate["ci_low"] < rate["point"] < rate["ci_high"]
+
+
+def test_split_table_reads_texts_once(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, "".join(rng.choice(list("ACDEFKRW"), 5 + i % 7)), f"s{i % 6}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(rng.random() < 0.5)) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = models.grouped_split_table(spark, str(tmp_path))
+    assert not [f for f in out.inputFiles() if "documents" in f or "labels" in f]
+    assert {r["split"]: r["n"] for r in out.collect()} == {"random_pair": 60, "held_out_antigen": 60}
