@@ -280,3 +280,25 @@ def test_loop_engagement(spark):
     got = {r["id"]: r for r in confidence.loop_engagement(iface, numbering).collect()}
     assert set(got) == {"a"} and got["a"]["cdr_contact_fraction"] == 0.5
     assert (got["a"]["cdr1_contact_fraction"], got["a"]["cdr3_contact_fraction"]) == (0.25, 0.0)
+
+
+def test_residue_pairs_are_settled_in_one_pair_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for role in ("binder", "target"):
+        for k in range(60):
+            rows.append(("s", role, int(rng.integers(12)), "LYS", "C", k, *map(float, rng.normal(0, 5, 3))))
+    atoms = spark.createDataFrame(rows, "structure_id string, role string, role_res int, resname string, element string, atom_ord int, x double, y double, z double").cache()
+    whole = sorted(map(tuple, geometry.residue_contacts(atoms).collect()))
+    middle = np.median([r[3] for r in whole])
+    features = geometry.interface_features(atoms).first().asDict()
+    for block in (16, 2):  # whole residues, and residues cut over blocks
+        monkeypatch.setattr(geometry, "BLOCK", block)
+        if block == 16:
+            near = geometry.near_residues(atoms).select("i", "j")
+            assert near.count() > 1
+            pairs = [p for r in near.collect() for p in zip(r["i"], r["j"])]
+            assert len(pairs) == len(set(pairs)) == len(whole) > 60
+        assert sorted(map(tuple, geometry.residue_contacts(atoms).collect())) == whole
+        assert geometry.interface_features(atoms).first().asDict() == pytest.approx(features, nan_ok=True)
+    assert features["median_interface_residue_distance_8a"] == middle
