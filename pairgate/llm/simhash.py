@@ -13,9 +13,10 @@ instead: within k = 2 bits exactly those pairs link that share a fingerprint or
 neighbour of it, so each sends itself and its neighbours in the open byte positions and links to
 the smallest fingerprint that sent the same value.  That is exact, and linear in the list's length.
 
-``drop_near`` serves word similarities that two bits cannot.  Documents meet under keys of minimal
-shingle hashes, the bits of several fingerprints keep the unlike apart, and what is left is decided
-by the Jaccard similarity of the whole shingle sets.
+``drop_near`` links what ``simhash_dedup`` links, through the same index, and adds the near copies
+that two bits cannot reach: documents also meet under keys of minimal shingle hashes, the bits of
+several fingerprints keep the unlike apart, and what is left is decided by the Jaccard similarity of
+the whole shingle sets.
 
 Defined cases: null text is empty; no words give the fingerprint zero, linked like any other;
 fewer words than a shingle make one shingle of all of them; rows with one id count as one
@@ -338,16 +339,19 @@ def minima_keys(shingles: np.ndarray, n_keys: int) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def shingle_marks(docs: DataFrame, words_per_shingle: int, n_prints: int, n_keys: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, text_sha256, mark, fps, keys): ``mark`` is a digest of the set of
-    shingles, the fingerprints and keys are those of the set."""
+def shingle_marks(
+    docs: DataFrame, words_per_shingle: int, n_prints: int, n_keys: int, words_per_bit: int
+) -> DataFrame:
+    """(doc_id, text) to (doc_id, text_sha256, mark, fps, keys, fp): ``mark`` is a digest of the set
+    of shingles, the fingerprints and keys are those of the set; ``fp`` is the text's fingerprint in
+    ``simhash_dedup``."""
     small_text_batches(docs.sparkSession)
-    schema = "doc_id long, text_sha256 string, mark binary, fps array<long>, keys array<long>"
+    schema = "doc_id long, text_sha256 string, mark binary, fps array<long>, keys array<long>, fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for batch in batches:
-            shas, marks, fps, keys = [], [], [], []
+            shas, marks, fps, keys, fp = [], [], [], [], []
             for text in raw_texts(batch.column("text")):
                 shingles = np.unique(shingle_hashes(text, words_per_shingle))
                 shas.append(hashlib.sha256(text).hexdigest())
@@ -355,10 +359,13 @@ def shingle_marks(docs: DataFrame, words_per_shingle: int, n_prints: int, n_keys
                 prints = majorities(shingles, n_prints)
                 fps.append(np.array(prints, np.uint64).view(np.int64).tolist())
                 keys.append(minima_keys(shingles, n_keys))
+                fp += majorities(shingle_hashes(text, words_per_bit), 1)
             columns = [pa.array(shas, pa.string()), pa.array(marks, pa.binary())]
             columns += [pa.array(fps, longs), pa.array(keys, longs)]
+            columns.append(pa.array(np.array(fp, np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns], names=["doc_id", "text_sha256", "mark", "fps", "keys"]
+                [batch.column("doc_id"), *columns],
+                names=["doc_id", "text_sha256", "mark", "fps", "keys", "fp"],
             )
 
     return docs.mapInArrow(run, schema)
@@ -414,14 +421,20 @@ def set_links(near: DataFrame, words_per_shingle: int, similarity: float, max_bi
 
 
 def near_groups(
-    docs: DataFrame, words_per_shingle: int, similarity: float, n_prints: int, n_keys: int
+    docs: DataFrame,
+    words_per_shingle: int,
+    similarity: float,
+    n_prints: int,
+    n_keys: int,
+    words_per_bit: int,
+    bits: int,
 ) -> DataFrame:
     """(doc_id, text_sha256, kept) of (doc_id, text): of each group of near copies the row with the
     smallest id, null after all others, is kept."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # the cosine of sets of one size
     n_bits = 64 * n_prints
     max_bits = math.ceil(n_bits * share + SPREAD * math.sqrt(n_bits * share * (1 - share)))
-    rows = stash(shingle_marks(docs, words_per_shingle, n_prints, n_keys))
+    rows = stash(shingle_marks(docs, words_per_shingle, n_prints, n_keys, words_per_bit))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256"))
     marks = rows.groupBy("mark").agg(first.alias("first"), F.first("fps").alias("fps"), F.first("keys").alias("keys"))
     # A name in the order of the ids, so the smallest name of a component is the row that stays.
@@ -431,6 +444,9 @@ def near_groups(
         F.hex("mark"),
     )
     marks = stash(marks.select(F.unhex(name).alias("id"), "mark", "first", "fps", "keys"))
+    # The byte-position index with count filtering; texts of one set may differ in their prints.
+    prints = rows.select("mark", "fp").distinct().join(marks.select("id", "mark"), "mark")
+    alike = linked(prints.select(F.col("id").alias("doc_id"), F.array("fp").alias("fps")), bits)
     loose = stash(components(wide_links(marks, n_prints, n_keys, max_bits, "keys")))
     sizes = loose.groupBy("root").agg((F.count("*") + 1).alias("n"))
     members = loose.select(F.col("node").alias("id"), "root").union(
@@ -441,7 +457,8 @@ def near_groups(
     )
     texts = docs.select("text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     near = block_pairs(members, "root").join(texts, "text_sha256")
-    found = components(set_links(near, words_per_shingle, similarity, max_bits))
+    links = alike.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = components(links.union(set_links(near, words_per_shingle, similarity, max_bits)))
     stays = marks.join(found.where("node <> root"), F.col("id") == F.col("node"), "left_anti")
     kept = (F.col("text_sha256") == F.col("first.text_sha256")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     return rows.select("doc_id", "text_sha256", "mark").join(stays.select("mark", "first"), "mark", "left").select(
@@ -455,13 +472,16 @@ def drop_near(
     similarity: float = 0.8,
     n_prints: int = 8,
     n_keys: int = 24,
+    words_per_bit: int = 3,
+    bits: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the smallest id.
 
-    Near copies are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or
-    more.  Only how they meet is left to chance: a pair at 0.8 shares none of ``n_keys`` keys of
+    Near copies are linked if ``simhash_dedup`` links them (fingerprints of ``words_per_bit`` words
+    that differ in at most ``bits`` bits, met through the byte-position index, without loss), or if
+    the Jaccard similarity of their sets of shingles is ``similarity`` or more.  Only how the latter meet is left to chance: a pair at 0.8 shares none of ``n_keys`` keys of
     three minimal hashes with probability 3e-8, and the bits of ``n_prints`` fingerprints part only
     rows that differ in ``SPREAD`` standard deviations more than is expected at 0.8 (142 of 512
     bits).  Rows that meet loosely make components; inside them shingle sets are compared.
@@ -470,6 +490,6 @@ def drop_near(
     other, a null id orders after every other id, and of rows with one id and text one stays.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    decided = stash(near_groups(texts, words_per_shingle, similarity, n_prints, n_keys))
+    decided = stash(near_groups(texts, words_per_shingle, similarity, n_prints, n_keys, words_per_bit, bits))
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
     return rows_that_stay(docs, decided, sha, id_col, text_col)

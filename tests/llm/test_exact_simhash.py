@@ -248,3 +248,14 @@ def test_rows_with_columns_named_like_helpers(spark):
         assert (2, "other") in got and (None, "other text") in got
         assert ((3, None) in got) != ((4, "") in got)
     assert {r.doc_id for r in exact.drop_exact(docs).where("text LIKE '%a%b%c%'").collect()} == {1}
+
+
+def test_drop_near_drops_what_the_fingerprint_index_links(docs_of):
+    # A line of 21 words, repeated, decides every bit; the sets of shingles share little.
+    line = " ".join(f"w{i}" for i in range(21))
+    texts = [" ".join([line] * 60 + [f"{name}{i}" for i in range(30)]) for name in "abc"]
+    five = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    assert len(five[0] & five[1]) < 0.5 * len(five[0] | five[1])
+    texts.append("quite another text")
+    assert simhash.simhash_dedup(docs_of(texts)).select("component_id").distinct().count() == 2
+    assert [r.doc_id for r in simhash.drop_near(docs_of(texts)).orderBy("doc_id").collect()] == [0, 3]
