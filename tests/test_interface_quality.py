@@ -114,3 +114,31 @@ def test_scorer_gives_the_best_interface(spark, tmp_path):
     got = {r["example_id"]: r for r in scores.collect()}
     assert got["near"]["extras"]["dockq_best"] == pytest.approx(1, abs=1e-6) and not got["near"]["notes"]
     assert got["far"]["extras"]["dockq_best"] is None and got["far"]["notes"] == {"dockq_error": "no native interface"}
+
+
+def test_contacts_of_dense_structures_give_one_row_per_block_pair(spark, monkeypatch):
+    """Sums and rims equal all pairs, with residues of 1 to 70 atoms, absent ones and several blocks."""
+    monkeypatch.setattr(Q, "RESIDUES", 16)
+    rng = np.random.default_rng(4)
+    rows = {"pred": [], "crys": []}
+    for role, n in (("binder", 40), ("target", 33)):
+        for res in range(n):
+            centre = rng.normal(0, 9, 3) + (30 if res > 30 else 0)
+            for atom in range(70 if res == 5 else int(rng.integers(1, 9))):
+                for side in rows:
+                    if rng.uniform() > 0.2:
+                        at = centre + rng.normal(0, 2.0, 3)
+                        rows[side].append(("s", role, 0, res, f"X{atom}", "H" if atom == 3 else "C", *map(float, at)))
+
+    def near(side, cutoff):
+        b, t = ([r for r in rows[side] if r[1] == role and r[5] != "H"] for role in ("binder", "target"))
+        d = np.linalg.norm(np.array([r[6:] for r in b])[:, None] - np.array([r[6:] for r in t])[None], axis=2)
+        return {(b[i][3], t[j][3]) for i, j in zip(*np.nonzero(d <= cutoff))}
+
+    p, c = (spark.createDataFrame(rows[s], SCHEMA) for s in ("pred", "crys"))
+    met = Q._block_pairs(Q._blocks(p, c)).mapInPandas(Q._meet, Q._MET).collect()
+    native, model, wide = near("crys", 5.0), near("pred", 5.0), near("crys", 10.0)
+    assert 1 < len(met) <= 3 * 3 and len(native & model) > 20 and len(native) < len(wide)
+    assert [sum(r[n] for r in met) for n in ("n_native", "n_model", "n_both")] == [len(native), len(model), len(native & model)]
+    for k, rim in enumerate(("binder_rim", "target_rim")):
+        assert {i for r in met for i in r[rim]} == {pair[k] for pair in wide}
