@@ -237,3 +237,23 @@ def test_split_table_reads_texts_once(spark, tmp_path):
     out = models.grouped_split_table(spark, str(tmp_path))
     assert not [f for f in out.inputFiles() if "documents" in f or "labels" in f]
     assert {r["split"]: r["n"] for r in out.collect()} == {"random_pair": 60, "held_out_antigen": 60}
+
+
+def test_out_of_fold_logit_is_named_once_a_row(spark):
+    """Filters and sums of the score repeat no arithmetic, and packed rows give each fold's moments."""
+    rng = np.random.default_rng(12)
+    x, fold = rng.normal(5, 2, (300, 2)), rng.integers(0, 4, 300)
+    rows = [(int(f), int(rng.integers(0, 2)), float(a), float(b)) for f, (a, b) in zip(fold, x)]
+    df = spark.createDataFrame(rows, "fold int, y int, a double, b double").repartition(3)
+    scored = L.out_of_fold(df, ["a", "b"], "y", "fold", l2=1.0)
+    plan = scored.where("isnotnull(oof) AND NOT isnan(oof) AND abs(oof) < 9").groupBy("oof").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/ __s#") == 2  # one for each feature, however many folds
+    found = L._fold_moments(L._pack(L.design_rows(df, ["a", "b"], "y", "fold"), 2), 2, 99)
+    assert set(found) == {0.0, 1.0, 2.0, 3.0}
+    for f, (n, p, mean, ss) in found.items():
+        mine = x[fold == f]
+        assert (n, p) == (len(mine), sum(r[1] for r in rows if r[0] == f))
+        assert mean == pytest.approx(mine.mean(0)) and ss == pytest.approx(len(mine) * mine.var(0))
+    none = L._fold_moments(L._pack(L.design_rows(df, ["a", "b"], "y", None), 2), 2, 3)
+    assert set(none) == {None} and none[None][0] == 300
+    assert L._fold_moments(L._pack(L.design_rows(df.limit(0), ["a", "b"], "y", "fold"), 2), 2, 99) == {}
