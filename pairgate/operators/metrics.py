@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from pairgate import constants as C
 from pairgate.functions.numeric import at_least, finite_or_null, is_finite, oriented, ratio
-from pairgate.operators.ordered import ROWS_PER_BUCKET, running_totals
+from pairgate.operators.ordered import ROWS_PER_BUCKET, OrderCuts, plan_cuts, running_totals
 
 
 def _clean(df: DataFrame, keys: Sequence[str], score: str, label: str, *extra: str) -> DataFrame:
@@ -49,6 +49,7 @@ def ranking_metrics(
     label: str = "label",
     *,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    cuts: OrderCuts | None = None,
 ) -> DataFrame:
     """n, n_positive, n_negative, tie-aware AUROC and Spearman rho with the label, per group.
 
@@ -58,7 +59,7 @@ def ranking_metrics(
     rows = _clean(df, keys, score, label)
     counts = _counts(rows, keys, "s").withColumn("c", F.col("p") + F.col("n"))
     ordered = running_totals(
-        counts, keys, "s", ["n", "c"], rows_per_bucket=rows_per_bucket, sizing=rows
+        counts, keys, "s", ["n", "c"], rows_per_bucket=rows_per_bucket, sizing=rows, cuts=cuts
     )
     rank = F.col("before_c") + (F.col("c") + 1) / F.lit(2.0)
     sums = _grouped(ordered, keys).agg(
@@ -89,6 +90,12 @@ def auroc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label:
     return ranking_metrics(df, keys, score, label, **kw).drop("spearman_rho")
 
 
+def _descending(df: DataFrame, keys: Sequence[str], score: str, label: str, ordinal: str) -> DataFrame:
+    return _clean(df, keys, score, label, F.col(ordinal).cast("long").alias("o")).select(
+        *keys, (-F.col("s")).alias("down"), "y", "o", F.lit(1).cast("long").alias("one")
+    )
+
+
 def average_precision(
     df: DataFrame,
     keys: Sequence[str] = (),
@@ -97,12 +104,11 @@ def average_precision(
     ordinal: str = "ordinal",
     *,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    cuts: OrderCuts | None = None,
 ) -> DataFrame:
     """Average precision per group; ties are taken in the order of the numeric ``ordinal``."""
-    rows = _clean(df, keys, score, label, F.col(ordinal).cast("long").alias("o")).select(
-        *keys, (-F.col("s")).alias("down"), "y", "o", F.lit(1).cast("long").alias("one")
-    )
-    ordered = running_totals(rows, keys, "down", ["y", "one"], tie="o", rows_per_bucket=rows_per_bucket)
+    rows = _descending(df, keys, score, label, ordinal)
+    ordered = running_totals(rows, keys, "down", ["y", "one"], tie="o", rows_per_bucket=rows_per_bucket, cuts=cuts)
     precision = (F.col("before_y") + 1) / (F.col("before_one") + 1).cast("double")
     return (
         _grouped(ordered, keys)
@@ -296,8 +302,10 @@ def metric_table(
     if not keys:
         whole = df.withColumn("__all", F.lit(0))
         return metric_table(whole, ["__all"], score, label, ordinal, rows_per_bucket=rows_per_bucket).drop("__all")
-    ranking = ranking_metrics(df, keys, score, label, rows_per_bucket=rows_per_bucket)
-    ap = average_precision(df, keys, score, label, ordinal, rows_per_bucket=rows_per_bucket)
+    # Both orders are cut alike: the rows are counted and their quantiles taken once.
+    cuts = plan_cuts(_descending(df, keys, score, label, ordinal), "down", "o", rows_per_bucket)
+    ranking = ranking_metrics(df, keys, score, label, rows_per_bucket=rows_per_bucket, cuts=cuts.mirrored())
+    ap = average_precision(df, keys, score, label, ordinal, rows_per_bucket=rows_per_bucket, cuts=cuts)
     groups = df.select(*keys).distinct().dropna(subset=list(keys))
     joined = groups.join(ranking, list(keys), "left").join(ap, list(keys), "left")
     both = (F.col("n_positive") > 0) & (F.col("n_negative") > 0)

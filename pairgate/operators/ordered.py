@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
+# More buckets than this are cut in two steps, so that a sketch costs the same per row at every size.
+BUCKETS_AT_ONCE, RANGES = 5_000, 100
 _BUCKET, _TIE = "__order_bucket", "__tie_bucket"
 
 
@@ -36,14 +38,26 @@ class OrderCuts:
     def trivial(self) -> bool:
         return not self.score_cuts
 
+    def mirrored(self) -> OrderCuts:
+        """The cuts of the negated score, without tie cuts."""
+        return OrderCuts(tuple(sorted(math.nextafter(-c, math.inf) for c in self.score_cuts)))
 
-def _quantiles(df: DataFrame, column: str, buckets: int) -> list[float]:
+
+def _sketched(column: str, buckets: int):
     fractions = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 10 * buckets)
-    row = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), fractions, accuracy).alias("q")
-    ).first()
-    return list(row["q"] or [])
+    return F.percentile_approx(F.col(column).cast("double"), fractions, max(10_000, 10 * buckets)).alias("q")
+
+
+def _quantiles(df: DataFrame, column: str, buckets: int) -> list[float]:
+    """Approximate quantiles, repeated where one value fills buckets."""
+    if buckets <= BUCKETS_AT_ONCE:
+        return list(df.agg(_sketched(column, buckets)).first()["q"] or [])
+    # Ranges first, then the quantiles of each: one fine sketch of all rows would be longer than the
+    # runs of rows that are merged into it.
+    coarse = list(df.agg(_sketched(column, RANGES)).first()["q"] or [])
+    ranged = _cut(df.select(column).dropna(), column, sorted(set(coarse)), "__range")
+    fine = ranged.groupBy("__range").agg(_sketched(column, math.ceil(buckets / RANGES))).collect()
+    return sorted([*coarse, *(v for r in fine for v in r["q"] or [])])
 
 
 def plan_cuts(
@@ -91,14 +105,17 @@ def running_totals(
     then: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
     sizing: DataFrame | None = None,
+    cuts: OrderCuts | None = None,
 ) -> DataFrame:
     """Add ``before_<c>``: the total of ``c`` over the rows that come earlier in (score, tie).
 
     Order is ascending; (keys, score, tie, then...) must identify a row.  Keys must not be NULL.
     ``then`` orders rows that agree on score and tie; such rows stay in one bucket.
-    ``sizing`` may name the cheaper rows ``df`` was aggregated from, to place the cuts with.
+    ``sizing`` may name the cheaper rows ``df`` was aggregated from, to place the cuts with; ``cuts``
+    are those of an earlier plan of the same order.
     """
-    cuts = plan_cuts(df if sizing is None else sizing, score, tie, rows_per_bucket)
+    if cuts is None:
+        cuts = plan_cuts(df if sizing is None else sizing, score, tie, rows_per_bucket)
     order = [F.col(c) for c in [score, *([tie] if tie else []), *then]]
 
     def earlier(partition: Sequence[str]) -> Window:

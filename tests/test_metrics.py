@@ -138,3 +138,24 @@ def test_lexical_index(spark, rows_per_bucket):
     df = spark.createDataFrame([(w,) for w in words[::-1]], "w string")
     got = {r["w"]: r["index"] for r in lexical_index(df, "w", rows_per_bucket=rows_per_bucket).collect()}
     assert got == {w: i for i, w in enumerate(words)}
+
+
+def test_metric_table_plans_its_cuts_once(spark, monkeypatch):
+    """One plan serves both orders; many buckets are cut in ranges, with sketches of bounded size."""
+    from pairgate.operators import ordered as O
+
+    rng = np.random.default_rng(21)
+    rows = [(("a", "b")[i % 2], float(rng.integers(0, 9) if i % 3 else rng.normal()), int(rng.integers(0, 2)), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "grp string, score double, label int, ordinal long")
+    want = {r["grp"]: r for r in M.metric_table(df, ["grp"]).collect()}
+    sketches, plans = [], []
+    sketched, planned = O._sketched, O.plan_cuts
+    monkeypatch.setattr(O, "BUCKETS_AT_ONCE", 8)
+    monkeypatch.setattr(O, "RANGES", 5)
+    monkeypatch.setattr(O, "_sketched", lambda c, b: sketches.append(b) or sketched(c, b))
+    monkeypatch.setattr(M, "plan_cuts", lambda *a: plans.append(planned(*a)) or plans[-1])
+    got = {r["grp"]: r for r in M.metric_table(df, ["grp"], rows_per_bucket=20).collect()}
+    assert len(plans) == 1 and plans[0].hot_buckets and max(sketches) <= 6
+    assert len(plans[0].mirrored().score_cuts) == len(plans[0].score_cuts) > 9
+    for k, row in want.items():
+        assert tuple(got[k])[:4] == tuple(row)[:4] and tuple(got[k])[4:] == pytest.approx(tuple(row)[4:], abs=1e-12)
